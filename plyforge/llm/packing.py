@@ -85,6 +85,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, whose cache serves all its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def strategies(bins: int) -> list[tuple[int, ...]]:
     """Combinations of up to three bins, largest first, that fill a window."""
     found: list[tuple[int, ...]] = [(bins,)]
@@ -166,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, bins: int = 2
     step = -(-window // bins)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, part, seen = encoder_of(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             at, ids = 0, batch.column(0)
             while at < batch.num_rows:
