@@ -4,8 +4,186 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.scalars import hash_bucket, percent, value_bucket, value_token
+from ..operators import image, metrics, ranking, sampling, sequences, validation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "rank_by_key"
+TYPES = ("click", "view", "purchase", "signup", "logout")
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("score"))
+
+
+def _top_text(item: str) -> F.Column:
+    return F.array_join(F.transform("top", lambda m: F.concat(m[item].cast("string"), F.lit(":"), value_token(value_bucket(m["score"])))), " ")
+
+
+def rank_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.summary(_order_items(spark, sf_dir), "l_orderkey", "l_linenumber", "score")
+    return out.select("l_orderkey", "n_items", "best", _top_text("l_linenumber").alias("top5"))
+
+
+def rank_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_discount") * 10).alias("score"))
+    out = ranking.summary(rows, "l_suppkey", "l_partkey", "score")
+    return out.select("l_suppkey", "n_items", "best", _top_text("l_partkey").alias("top5"))
+
+
+def rank_of_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.summary(_order_items(spark, sf_dir), "l_orderkey", "l_linenumber", "score")
+    place = ranking.rank_of(F.col("top"), F.lit(2), "l_linenumber")
+    return out.select("l_orderkey", place.alias("rank_of_2"), (F.col("best") == 2).alias("agrees"))
+
+
+def value_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.summary(_order_items(spark, sf_dir), "l_orderkey", "l_linenumber", "score")
+    tie, losing = ranking.value_flags(F.col("top"), "score", 5, 0.5, 0.3)
+    return validation.totals(out.select(tie.alias("tiebreak"), losing.alias("losing")), ["tiebreak", "losing"])
+
+
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select(hash_bucket(F.col("text"), 1000).alias("bucket_id"), F.md5(F.col("text").cast("binary")).alias("k"))
+    return rows.groupBy("bucket_id", "k").agg(F.count("*").alias("n")).groupBy("bucket_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))
+
+
+def missing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events")
+    return validation.difference(events, events.where("value > 100"), ["user_id", "event_type"])
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _order_items(spark, sf_dir)
+    expected = data.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("l_linenumber"))
+    return validation.completeness(data, expected, "l_orderkey", "l_linenumber")
+
+
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ranking.best_per_item(_order_items(spark, sf_dir), "l_orderkey", "l_linenumber", "score").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    out = groups.groupBy((F.col("l_orderkey") % 30).alias("bucket_id")).agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") >= 6).alias("n_complete"), F.sum("n").alias("n_items"))
+    return out.select("*", F.round(percent(F.col("n_complete"), F.col("n_keys")), 6).alias("percent_complete"))
+
+
+def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select(value_bucket(F.col("value") / 250).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", value_token(F.col("bucket")).alias("token"), "n")
+
+
+def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    vocab = part.where("p_size <= 2").select("p_type").distinct().select("p_type", F.lit(True).alias("known"))
+    out = part.join(vocab, "p_type", "left")
+    return out.select("p_partkey", F.when(F.col("known"), F.col("p_type")).otherwise(F.concat(F.lit("<m_"), F.col("p_type"), F.lit(">"))).alias("token"), F.col("known").isNull().alias("is_oov"))
+
+
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").where(F.array_contains(F.json_object_keys("props"), "k"))
+    return rows.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+def balanced_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sampling.balanced_choice(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", [3, 5, 10, 20, 30])
+    return out.select("o_orderkey", "top_n")
+
+
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact_split(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.05, seed=1).select("o_orderkey", "is_eval")
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return sampling.batches(rows, "o_orderpriority", "o_orderkey", 16, drop_last=True).select("o_orderkey", "o_orderpriority", "batch", "place")
+
+
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.batch_counts(_t(spark, sf_dir, "orders"), "o_orderpriority", 16)
+
+
+def first_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_per_group(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 3)
+
+
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.file_index(_t(spark, sf_dir, "documents"), "source")
+
+
+def padded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
+    out = sequences.padded(rows, "conv_id", {"ids": F.lit(0).cast("bigint")})
+    return out.select("conv_id", "turn", F.size("ids").cast("bigint").alias("padded"), F.size(F.filter("ids", lambda x: x == 0)).cast("bigint").alias("zeros"))
+
+
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.split("text", " ").alias("ids"))
+    return sequences.length_stats(rows, "ids")
+
+
+def next_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.next_token(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("event_id", "target")
+
+
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"), "label")
+    return rows.select("vec_id", F.round(metrics.cross_entropy(F.col("logits"), F.col("label")), 6).alias("ce"))
+
+
+def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.dimension_stats(_t(spark, sf_dir, "embeddings"), "embedding").select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def mean_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mean_by_steps(_t(spark, sf_dir, "events"), "event_id", "value", 100).select("window", F.round("mean_loss", 4).alias("mean_loss"), "n")
+
+
+def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _t(spark, sf_dir, "orders").where("o_orderkey < 2500").select((F.col("o_orderkey") / 50).cast("int").alias("y"), (F.col("o_orderkey") % 50).cast("int").alias("x"), image.in_range(F.col("o_totalprice"), 0, 20000).alias("v")).dropDuplicates(["y", "x"])
+    return image.spread(grid, image.box(3, 5), "v", True)
+
+
+_RANKED = """
+WITH best AS (SELECT {key}, {item}, max(l_discount * 10) AS score FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {item}) AS rn FROM best)
+"""
+_BUCKET = "least(CAST(floor(greatest(0.0, least(1.0, {v})) * 63 + 0.5) AS INT), 63)"
+_ORDERS = _RANKED.format(key="l_orderkey", item="l_linenumber")
+_SUMMARY = "SELECT {key}, count(*) AS n_items, max({item}) FILTER (rn = 1) AS best, string_agg({item} || ':<val_' || " + _BUCKET.format(v="score") + " || '>', ' ' ORDER BY rn) FILTER (rn <= 5) AS top5 FROM r GROUP BY {key}"
+_PLACE = "row_number() OVER (ORDER BY md5(o_orderkey || ':{seed}'), o_orderkey) - 1"
+
+#: name -> SQL
+ORACLES: dict[str, str] = {
+    "rank_by_key": _ORDERS + _SUMMARY.format(key="l_orderkey", item="l_linenumber"),
+    "rank_large_groups": _RANKED.format(key="l_suppkey", item="l_partkey") + _SUMMARY.format(key="l_suppkey", item="l_partkey"),
+    "rank_of_item": _ORDERS + "SELECT l_orderkey, max(rn) FILTER (l_linenumber = 2 AND rn <= 5) AS rank_of_2, max(l_linenumber) FILTER (rn = 1) = 2 AS agrees FROM r GROUP BY l_orderkey",
+    "value_flags": _ORDERS + """, f AS (SELECT l_orderkey, count(*) >= 5 AND min(score) FILTER (rn <= 5) > 0.5 AS tiebreak, count(*) >= 5 AND max(score) FILTER (rn <= 5) < 0.3 AS losing FROM r GROUP BY l_orderkey)
+        SELECT count(*) AS groups, count(*) FILTER (tiebreak) AS n_tiebreak, count(*) FILTER (losing) AS n_losing, count(*) FILTER (tiebreak) * 100.0::DOUBLE / count(*) AS percent_tiebreak, count(*) FILTER (losing) * 100.0::DOUBLE / count(*) AS percent_losing FROM f""",
+    "bucket_counts": "SELECT CAST(('0x' || substr(md5(text), 1, 8))::UBIGINT % 1000 AS INT) AS bucket_id, count(*) AS n_rows, count(DISTINCT text) AS n_keys FROM documents GROUP BY 1",
+    "missing_items": "SELECT DISTINCT user_id, event_type FROM events EXCEPT SELECT user_id, event_type FROM events WHERE value > 100",
+    "completeness": """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), k AS (SELECT DISTINCT l_orderkey FROM d), e AS (SELECT l_orderkey, unnest(range(1, 7)) AS l_linenumber FROM k),
+        b AS (SELECT coalesce(d.l_orderkey, e.l_orderkey) AS l_orderkey, d.l_orderkey IS NULL AS m, e.l_orderkey IS NULL AS x FROM d FULL JOIN e ON d.l_orderkey = e.l_orderkey AND d.l_linenumber = e.l_linenumber)
+        SELECT l_orderkey, count(*) FILTER (m) AS n_missing, count(*) FILTER (x) AS n_extra, count(*) FILTER (m OR x) = 0 AS is_complete FROM b GROUP BY 1""",
+    "run_statistics": "WITH g AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey % 30 AS bucket_id, count(*) AS n_keys, count(*) FILTER (n >= 6) AS n_complete, CAST(sum(n) AS BIGINT) AS n_items, round(count(*) FILTER (n >= 6) * 100.0::DOUBLE / count(*), 6) AS percent_complete FROM g GROUP BY 1",
+    "value_buckets": "SELECT " + _BUCKET.format(v="value / 250") + " AS bucket, '<val_' || " + _BUCKET.format(v="value / 250") + " || '>' AS token, count(*) AS n FROM events GROUP BY 1, 2",
+    "vocabulary_lookup": "WITH v AS (SELECT DISTINCT p_type FROM part WHERE p_size <= 2) SELECT p_partkey, CASE WHEN v.p_type IS NULL THEN '<m_' || part.p_type || '>' ELSE part.p_type END AS token, v.p_type IS NULL AS is_oov FROM part LEFT JOIN v ON part.p_type = v.p_type",
+    "json_field": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE list_contains(json_keys(props), 'k')",
+    "balanced_choice": "WITH p AS (SELECT o_orderkey, " + _PLACE.format(seed=0) + " AS place FROM orders) SELECT o_orderkey, CAST([3, 5, 10, 20, 30][place % 5 + 1] AS INT) AS top_n FROM p",
+    "exact_split": "WITH p AS (SELECT o_orderkey, " + _PLACE.format(seed=1) + " AS place FROM orders) SELECT o_orderkey, place < CAST(floor((SELECT count(*) FROM orders) * 0.05::DOUBLE) AS BIGINT) AS is_eval FROM p",
+    "batches": "WITH p AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, o_orderpriority, r // 16 AS batch, r % 16 AS place FROM p WHERE r // 16 < n // 16",
+    "batch_counts": "SELECT o_orderpriority, count(*) AS n_rows, (count(*) + 15) // 16 AS batches, count(*) // 16 AS full_batches FROM orders GROUP BY 1",
+    "first_per_group": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3",
+    "file_index": "SELECT source, count(*) AS n_rows, CAST(coalesce(sum(count(*)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row FROM documents GROUP BY source",
+    "padded_lengths": "WITH s AS (SELECT conv_id, turn, len(string_split(text, ' ')) AS n, len(list_filter(string_split(text, ' '), lambda w: w = '')) AS e FROM conversations), m AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS padded FROM s) SELECT conv_id, turn, padded, padded - n + e AS zeros FROM m",
+    "length_stats": "SELECT CAST(min(len(string_split(text, ' '))) AS INT) AS shortest, CAST(max(len(string_split(text, ' '))) AS INT) AS longest, round(avg(len(string_split(text, ' '))), 1) AS mean_length FROM conversations",
+    "next_token": "SELECT event_id, target FROM (SELECT event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM events) WHERE target IS NOT NULL",
+    "cross_entropy": "SELECT vec_id, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)))) + list_max(embedding)::DOUBLE - embedding[label + 1]::DOUBLE, 6) AS ce FROM embeddings",
+    "dimension_stats": "SELECT CAST(i AS INT) AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[i + 1]::DOUBLE), 6) AS std FROM embeddings, range(64) t(i) GROUP BY i",
+    "mean_by_steps": "SELECT event_id // 100 AS window, round(avg(value), 4) AS mean_loss, count(*) AS n FROM events GROUP BY 1",
+    "dilate": "WITH g AS (SELECT DISTINCT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN o_totalprice BETWEEN 0 AND 20000 THEN 255 ELSE 0 END AS v FROM orders WHERE o_orderkey < 2500) SELECT a.y, a.x, max(b.v) AS v FROM g a JOIN g b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2",
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in ORACLES}
