@@ -65,17 +65,18 @@ class RatioModel:
     ratio: np.ndarray
     least: float = 20.0
     #: Also needed on average for each character, so that length alone doesn't decide.
-    least_mean: float = 0.8
+    least_mean: float = 0.4
 
     @classmethod
-    def fit(cls, random: np.ndarray, ordinary: np.ndarray, smooth: float = 0.5, **kw) -> RatioModel:
-        """Add-half smoothed chains; without samples of either label all ratios are 0 and nothing is found."""
+    def fit(cls, random: np.ndarray, ordinary: np.ndarray, smooth: float = 0.5, prior: float = 200.0, **kw) -> RatioModel:
+        """Chains whose transitions are shrunk to the label's symbol frequencies; without samples of either label all ratios are 0 and nothing is found."""
         if not random.sum() or not ordinary.sum():
             return cls(np.zeros((WIDTH, WIDTH)), **kw)
 
         def chain(counts: np.ndarray) -> np.ndarray:
-            c = counts.reshape(WIDTH, WIDTH) + smooth
-            return np.log(c / c.sum(1, keepdims=True))
+            c = counts.reshape(WIDTH, WIDTH)
+            symbol = (c.sum(0) + smooth) / (c.sum() + smooth * WIDTH)
+            return np.log((c + prior * symbol) / (c.sum(1, keepdims=True) + prior))
 
         return cls(chain(random) - chain(ordinary), **kw)
 

@@ -3,7 +3,7 @@
 Pages that a rule decides are the labelled outcomes (1: blocked). Each level's block rate has a beta
 prior around the mean of the level above (all -> suffix -> registered domain -> host). Its strength is
 estimated from the spread of the level's groups by moments. A page that no rule fits is blocked where
-the lower posterior bound of its host's block rate is above the limit, so unknown hosts are allowed.
+the lower posterior bound of its host's block rate is above the limit; a host without outcomes has the wide posterior of the levels above it.
 
 Everything is DataFrame operations; counts are combined before the shuffle, and what comes back to the
 pages is joined by host. Null URLs, and those without ``://``, have an empty host and path and no rule.
