@@ -22,3 +22,20 @@ def spread(pixels: DataFrame, offsets: list[tuple[int, int]], value: str, larges
 def box(height: int, width: int) -> list[tuple[int, int]]:
     """Offsets of a full kernel around its centre."""
     return [(y - height // 2, x - width // 2) for y in range(height) for x in range(width)]
+
+
+def kernel(rows: list[str]) -> list[tuple[int, int]]:
+    """Offsets, around the centre, of the cells of a drawn kernel that are not 0."""
+    return [(y - len(rows) // 2, x - len(row) // 2) for y, row in enumerate(rows) for x, cell in enumerate(row) if cell != "0"]
+
+
+def spread_times(pixels: DataFrame, offsets: list[tuple[int, int]], value: str, largest: bool, times: int) -> DataFrame:
+    """``spread``, one time after the other."""
+    for _ in range(times):
+        pixels = spread(pixels, offsets, value, largest)
+    return pixels
+
+
+def marked(mask: Column, pixel: Column, colour: tuple[int, int, int] = (0, 255, 0)) -> Column:
+    """The pixel, or the colour where the mask is 255."""
+    return F.when(mask == 255, F.array(*map(F.lit, colour))).otherwise(pixel)

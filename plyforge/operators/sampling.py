@@ -53,3 +53,30 @@ def file_index(rows: DataFrame, file_col: str) -> DataFrame:
     counts = rows.groupBy(file_col).agg(F.count("*").alias("n_rows"))
     before = W.orderBy(file_col).rowsBetween(W.unboundedPreceding, -1)
     return counts.withColumn("start_row", F.coalesce(F.sum("n_rows").over(before), F.lit(0)))
+
+
+def first_rows(rows: DataFrame, file_col: str, order: str, n: int) -> DataFrame:
+    """The first n rows of all, by file and then by order within it; no task sorts more than a file."""
+    return located(rows, file_col, order).where(F.col("place") < n).drop("place", "local")
+
+
+def located(rows: DataFrame, file_col: str, order: str) -> DataFrame:
+    """Adds ``local``, a row's 0-based place in its file, and ``place``, that in all files."""
+    inner = rows.withColumn("local", (F.row_number().over(W.partitionBy(file_col).orderBy(order)) - 1).cast("long"))
+    return inner.join(file_index(rows, file_col).select(file_col, "start_row"), file_col).withColumn("place", F.col("start_row") + F.col("local")).drop("start_row")
+
+
+def file_of_place(places: DataFrame, index: DataFrame, place: str, file_col: str, block: int = 1 << 16) -> DataFrame:
+    """Adds the file and ``local`` place of each global place, from ``file_index`` rows; places beyond the last row go.
+
+    Files are cut into blocks of places, so the range is found by an equal key and nothing is broadcast by hint.
+    """
+    last = F.col("start_row") + F.col("n_rows") - 1
+    blocks = index.where("n_rows > 0").select(file_col, "start_row", last.alias("__last"), F.explode(F.sequence(F.floor(F.col("start_row") / block), F.floor(last / block))).alias("__block"))
+    found = places.withColumn("__block", F.floor(F.col(place) / block)).join(blocks, "__block").where(F.col(place).between(F.col("start_row"), F.col("__last")))
+    return found.withColumn("local", F.col(place) - F.col("start_row")).drop("__block", "__last", "start_row")
+
+
+def stride(rows: DataFrame, id_col: str, workers: int, seed: int = 0) -> DataFrame:
+    """Adds ``worker``: rows dealt in turn in the seeded order, so that counts differ by one at most."""
+    return shuffled_rank(rows, id_col, seed).withColumn("worker", (F.col("place") % workers).cast("int")).drop("place")

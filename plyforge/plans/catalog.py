@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import hash_bucket, percent, value_bucket, value_token
-from ..operators import image, metrics, ranking, sampling, sequences, validation
+from ..operators import image, metrics, ranking, sampling, sequences, validation, vocabulary
 
 FLAGSHIP = "rank_by_key"
 TYPES = ("click", "view", "purchase", "signup", "logout")
@@ -146,6 +146,43 @@ def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.spread(grid, image.box(3, 5), "v", True)
 
 
+KERNEL = ["10111", "11101", "01111"]
+
+
+def erode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") / 50).cast("int").alias("y"), (F.col("o_orderkey") % 50).cast("int").alias("x"), F.col("o_totalprice").alias("v"))
+    grid = rows.groupBy("y", "x").agg(image.in_range(F.max("v"), 2000, 10**9).alias("v"))
+    return image.spread_times(grid, image.kernel(KERNEL), "v", False, 2)
+
+
+def global_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_rows(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 150)
+
+
+def row_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.located(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "local", "place")
+
+
+def file_of_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = sampling.file_index(_t(spark, sf_dir, "documents"), "source")
+    return sampling.file_of_place(_t(spark, sf_dir, "orders").select("o_orderkey"), index, "o_orderkey", "source", block=64).select("o_orderkey", "source", "local")
+
+
+def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stride(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 8, seed=3).select("o_orderkey", "worker")
+
+
+def move_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.move_names(spark).groupBy("kind").agg(F.countDistinct("move").alias("n"), F.min("move").alias("first_move"), F.max("move").alias("last_move"))
+
+
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    known = part.where("p_size <= 25").agg(F.array_sort(F.collect_set("p_brand")).alias("w")).select(F.posexplode("w").alias("id", "token"))
+    rows = part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("text"))
+    return vocabulary.token_ids(rows, "p_partkey", "text", known).select("p_partkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 _RANKED = """
 WITH best AS (SELECT {key}, {item}, max(l_discount * 10) AS score FROM lineitem GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, {item}) AS rn FROM best)
@@ -184,6 +221,21 @@ ORACLES: dict[str, str] = {
     "dimension_stats": "SELECT CAST(i AS INT) AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[i + 1]::DOUBLE), 6) AS std FROM embeddings, range(64) t(i) GROUP BY i",
     "mean_by_steps": "SELECT event_id // 100 AS window, round(avg(value), 4) AS mean_loss, count(*) AS n FROM events GROUP BY 1",
     "dilate": "WITH g AS (SELECT DISTINCT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN o_totalprice BETWEEN 0 AND 20000 THEN 255 ELSE 0 END AS v FROM orders WHERE o_orderkey < 2500) SELECT a.y, a.x, max(b.v) AS v FROM g a JOIN g b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2",
+    "erode": """WITH g AS (SELECT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN max(o_totalprice) BETWEEN 2000 AND 1000000000 THEN 255 ELSE 0 END AS v FROM orders GROUP BY 1, 2),
+        k(dy, dx) AS (VALUES (-1, -2), (-1, 0), (-1, 1), (-1, 2), (0, -2), (0, -1), (0, 0), (0, 2), (1, -1), (1, 0), (1, 1), (1, 2)),
+        e AS (SELECT g.y, g.x, min(n.v) AS v FROM g, k JOIN g n ON n.y = g.y + dy AND n.x = g.x + dx GROUP BY 1, 2)
+        SELECT e.y, e.x, min(n.v) AS v FROM e, k JOIN e n ON n.y = e.y + dy AND n.x = e.x + dx GROUP BY 1, 2""",
+    "global_cap": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (ORDER BY source, doc_id) <= 150",
+    "row_places": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS local, row_number() OVER (ORDER BY source, doc_id) - 1 AS place FROM documents",
+    "file_of_place": "WITH p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS local, row_number() OVER (ORDER BY source, doc_id) - 1 AS place FROM documents) SELECT o_orderkey, source, local FROM orders JOIN p ON o_orderkey = place",
+    "stride": "WITH p AS (SELECT o_orderkey, " + _PLACE.format(seed=3) + " AS place FROM orders) SELECT o_orderkey, CAST(place % 8 AS INT) AS worker FROM p",
+    "move_kinds": """WITH q AS (SELECT s, t, abs(s % 8 - t % 8) AS dx, abs(s // 8 - t // 8) AS dy, chr(CAST(97 + s % 8 AS INT)) || (s // 8 + 1) || chr(CAST(97 + t % 8 AS INT)) || (t // 8 + 1) AS m FROM range(64) a(s), range(64) b(t)),
+        k AS (SELECT CASE WHEN dx = 0 OR dy = 0 OR dx = dy THEN 'line' ELSE 'leap' END AS kind, m FROM q WHERE s <> t AND (dx = 0 OR dy = 0 OR dx = dy OR dx * dy = 2)
+        UNION ALL SELECT 'promotion', m || p FROM q, (VALUES ('q'), ('r'), ('b'), ('n')) v(p) WHERE dx <= 1 AND (s // 8 = 6 AND t // 8 = 7 OR s // 8 = 1 AND t // 8 = 0))
+        SELECT kind, count(DISTINCT m) AS n, min(m) AS first_move, max(m) AS last_move FROM k GROUP BY kind""",
+    "token_ids": """WITH v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT p_brand AS token FROM part WHERE p_size <= 25)),
+        w AS (SELECT p_partkey, 0 AS place, p_brand AS token FROM part UNION ALL SELECT p_partkey, 1, p_type FROM part)
+        SELECT p_partkey, string_agg(CAST(coalesce(v.id, -1) AS VARCHAR), ',' ORDER BY place) AS ids FROM w LEFT JOIN v USING (token) GROUP BY 1""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in ORACLES}
