@@ -142,7 +142,7 @@ def mean_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _t(spark, sf_dir, "orders").where("o_orderkey < 2500").select((F.col("o_orderkey") / 50).cast("int").alias("y"), (F.col("o_orderkey") % 50).cast("int").alias("x"), image.in_range(F.col("o_totalprice"), 0, 20000).alias("v")).dropDuplicates(["y", "x"])
+    grid = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") / 50).cast("int").alias("y"), (F.col("o_orderkey") % 50).cast("int").alias("x"), image.in_range(F.col("o_totalprice"), 0, 20000).alias("v")).dropDuplicates(["y", "x"])
     return image.spread(grid, image.box(3, 5), "v", True)
 
 
@@ -220,7 +220,9 @@ ORACLES: dict[str, str] = {
     "cross_entropy": "SELECT vec_id, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)))) + list_max(embedding)::DOUBLE - embedding[label + 1]::DOUBLE, 6) AS ce FROM embeddings",
     "dimension_stats": "SELECT CAST(i AS INT) AS dim, round(avg(embedding[i + 1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[i + 1]::DOUBLE), 6) AS std FROM embeddings, range(64) t(i) GROUP BY i",
     "mean_by_steps": "SELECT event_id // 100 AS window, round(avg(value), 4) AS mean_loss, count(*) AS n FROM events GROUP BY 1",
-    "dilate": "WITH g AS (SELECT DISTINCT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN o_totalprice BETWEEN 0 AND 20000 THEN 255 ELSE 0 END AS v FROM orders WHERE o_orderkey < 2500) SELECT a.y, a.x, max(b.v) AS v FROM g a JOIN g b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2",
+    "dilate": """WITH g AS (SELECT DISTINCT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN o_totalprice BETWEEN 0 AND 20000 THEN 255 ELSE 0 END AS v FROM orders),
+        n AS (SELECT y + dy AS y, x + dx AS x, v FROM g, range(-1, 2) r(dy), range(-2, 3) c(dx))
+        SELECT g.y, g.x, max(n.v) AS v FROM g JOIN n ON n.y = g.y AND n.x = g.x GROUP BY 1, 2""",
     "erode": """WITH g AS (SELECT CAST(o_orderkey // 50 AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x, CASE WHEN max(o_totalprice) BETWEEN 2000 AND 1000000000 THEN 255 ELSE 0 END AS v FROM orders GROUP BY 1, 2),
         k(dy, dx) AS (VALUES (-1, -2), (-1, 0), (-1, 1), (-1, 2), (0, -2), (0, -1), (0, 0), (0, 2), (1, -1), (1, 0), (1, 1), (1, 2)),
         e AS (SELECT g.y, g.x, min(n.v) AS v FROM g, k JOIN g n ON n.y = g.y + dy AND n.x = g.x + dx GROUP BY 1, 2)
