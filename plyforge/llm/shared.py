@@ -29,16 +29,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.saved: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path, compression="zstd")
+        self.saved.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.saved.remove(name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
