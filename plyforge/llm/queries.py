@@ -93,4 +93,20 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_decont
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-ORACLES: dict[str, str] = {}
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    # every run of n words of a document (n: 10, or the words of a shorter item) against those of the items
+    "op2_decontaminate": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, row_number() OVER () AS r, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        iw AS (SELECT item, r, len(w) AS total, least(len(w), 10) AS n, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM b),
+        ig AS (SELECT DISTINCT item, n, g FROM (SELECT item, n, p, total, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM iw) WHERE p + n - 1 <= total),
+        dw AS (SELECT r, len(w) AS total, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+        dn AS (SELECT dw.*, n FROM dw, (SELECT DISTINCT n FROM ig)),
+        dg AS (SELECT r, p, n, g FROM (SELECT r, p, n, total, string_agg(word, ' ') OVER (PARTITION BY r, n ORDER BY p ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS g FROM dn) WHERE p + n - 1 <= total),
+        hit AS (SELECT r, p, n, item FROM dg JOIN ig USING (n, g)),
+        hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+        named AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)""",
+}
