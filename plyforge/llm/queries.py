@@ -65,7 +65,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trie = lm_score.fit(docs, learn=fold() != 1)
+    trie = lm_score.fit(docs, learn=fold() != 1, order=3, least_count=1)
     return lm_score.score(docs, trie).select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -240,6 +240,19 @@ def test_lm_against_brute_force(spark):
         assert r["score"] == pytest.approx(model)
 
 
+def test_lm_query_knows_single_occurrences_and_trigrams(spark, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    texts = {learned[0]: "red fox one", learned[1]: "blue fox two", held[0]: "red fox one", held[1]: "red fox two", held[2]: "two one blue"}
+    spark.createDataFrame([(i, t, "en", "s", 0, 1, 1, "x", 0.0) for i, t in texts.items()], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_lm_score(spark, str(tmp_path)).collect()}
+    assert [got[i]["held_out"] for i in held[:3]] == [True] * 3
+    # every bigram of the first occurs once; the first two differ only in what follows 'red fox'
+    assert got[held[0]]["score"] > got[held[0]]["base_score"] + 0.5
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
+    assert got[held[2]]["score"] < got[held[1]]["score"]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
     for universe in (1, 300, 10**6, 2**40):
