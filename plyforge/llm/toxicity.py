@@ -3,7 +3,8 @@
 Terms are grams of five bytes of the lower-cased text in which every other byte than letters, digits and
 those beyond ASCII is taken as a space, so they hold word beginnings and parts of words of any language. A bounded sample of labelled rows, ``per_class`` of each label by hash of the id (the
 documented bound), is the set of examples; all terms that tell its labels apart significantly by chi-square
-(at 0.001) are the vocabulary, and vectors are normalised within it. Votes are weighted by how many labelled rows an example stands for.
+(at 0.001) are the vocabulary, and vectors are normalised within it. Votes are weighted by how many labelled rows an
+example stands for, 1 on average, so that the prior weighs the same for every size of the labels.
 
 Examples are laid out in blocks that share a label and their strongest term. For every term the inverted
 index has postings by block and each block's largest weight. A query adds up these maxima to bounds,
@@ -78,7 +79,7 @@ class BlockMaxIndex:
     terms: np.ndarray  # sorted codes
     idf: np.ndarray
     positive: np.ndarray  # label of each example
-    votes: np.ndarray  # labelled rows that each example stands for
+    votes: np.ndarray  # labelled rows that each example stands for, over their mean
     base: float
     block: int = 64
     k: int = 15
@@ -229,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     texts = rows.select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), F.col("text").cast("binary").alias("text"))
     examples = sorted(texts.mapInArrow(vectors, "id long, y int, terms array<long>, n array<long>").toArrow().to_pylist(), key=lambda r: r["id"])  # 2 * per_class rows at most
     index.positive = np.array([r["y"] == 1 for r in examples])
-    index.votes = np.array([stands[r["y"]] for r in examples])
+    mean = (n0 * stands[0] + n1 * stands[1]) / (n0 + n1)
+    index.votes = np.array([stands[r["y"]] / mean for r in examples])
     built = []
     for r in examples:
         t = np.array(r["terms"], np.int64)

@@ -212,6 +212,15 @@ def test_toxicity_takes_every_significant_term(spark):
     assert len(known) > 2000 and known <= set(index.terms.tolist())
 
 
+def test_toxicity_votes_do_not_grow_with_the_labels(spark):
+    texts = [("awful nasty words " if i % 4 == 0 else "quiet friendly lines ") + str(i) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    index = toxicity.fit(docs_of(spark, texts), labels, per_class=20)
+    # 20 of 40 toxic rows and 20 of 120 others: weights 1 to 3 with mean 1
+    assert sorted(set(index.votes.round(9))) == [0.5, 1.5] and index.votes.mean() == pytest.approx(1)
+    assert (index.votes[index.positive] == 0.5).all() and index.base == pytest.approx(0.25)
+
+
 def test_lm_against_brute_force(spark):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "unseen " + prose(rng, 5)]
