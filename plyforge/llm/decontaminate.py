@@ -125,10 +125,13 @@ def item_parts(items: DataFrame, id_col: str, text_col: str, part_bytes: int) ->
 
 
 def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, part_bytes: int = 32 << 20, passed: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's id and passed columns, n_words, hits array<struct<start,end>> (disjoint word runs in order) and items array<string>."""
+    """Each row's id and passed columns, n_words, hits array<struct<start,end>> (disjoint word runs in order) and items array<string>.
+
+    Items without an id are looked for like the others, but are not named in items.
+    """
     spark = docs.sparkSession
     keep = [id_col, *passed]
-    parts = item_parts(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null"), "item", "text", part_bytes)
+    parts = item_parts(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null"), "item", "text", part_bytes)
     shared = []
     for part in parts:
         index = ItemIndex(k, span - k + 1)
@@ -150,7 +153,7 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 for one in shared:
                     for row, found in block_hits(h, bounds, one.value).items():
                         block_runs[row] += [x[:2] for x in found]
-                        block_items[row] |= {one.value.ids[x[2]] for x in found}
+                        block_items[row] |= {one.value.ids[x[2]] for x in found} - {None}
                 hits += [[{"start": a, "end": b} for a, b in merged(x)] for x in block_runs]
                 named += [sorted(x) for x in block_items]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n_words, pa.int64()), pa.array(hits, hits_type), pa.array(named, pa.list_(pa.string()))], [*keep, "n_words", "hits", "items"])

@@ -221,6 +221,17 @@ def test_toxicity_votes_do_not_grow_with_the_labels(spark):
     assert (index.votes[index.positive] == 0.5).all() and index.base == pytest.approx(0.25)
 
 
+def test_passages_of_items_without_an_id(spark):
+    rng = random.Random(41)
+    long = prose(rng, 30)
+    items = spark.createDataFrame([(None, long), (None, "zq zw zx"), ("named", long), (None, None)], "item_id string, text string")
+    docs = docs_of(spark, [f"before {long} after", "the zq zw zx there", "clean"])
+    got = {r["doc_id"]: r for r in decontaminate.find_passages(docs, items).collect()}
+    assert [(h["start"], h["end"]) for h in got[0]["hits"]] == [(1, 31)] and got[0]["items"] == ["named"]
+    assert [(h["start"], h["end"]) for h in got[1]["hits"]] == [(1, 4)] and got[1]["items"] == []
+    assert got[2]["hits"] == []
+
+
 def test_lm_against_brute_force(spark):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "unseen " + prose(rng, 5)]
