@@ -24,7 +24,8 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the models can call a secret: a run of this alphabet.
-RUN = re.compile(r"[A-Za-z0-9+/_]{16,}")
+LEAST_RUN = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_]{{{LEAST_RUN},}}")
 KINDS = ("assign", "access", "hex", "random")
 
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"
@@ -52,6 +53,21 @@ def other_runs(text: str, spans: list[Span]) -> list[tuple[int, int]]:
     return [r for r in runs if not any(s[0] < r[1] and r[0] < s[1] for s in spans)] if spans else runs
 
 
+def left_runs(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Candidate runs, with the pattern spans cut out of those they touch."""
+    if not spans:
+        return other_runs(text, spans)
+    runs = []
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        for a, b, _ in spans:  # in order of their starts
+            if a < end and at < b:
+                runs.append((at, a))
+                at = b
+        runs.append((at, end))
+    return [(a, b) for a, b in runs if b - a >= LEAST_RUN]
+
+
 def transitions(samples: list[str]) -> np.ndarray:
     """How often a symbol follows another, over all samples."""
     joined = CODE[np.frombuffer("\n".join(["", *samples, ""]).encode("ascii", "replace"), np.uint8)].astype(np.int64)
@@ -119,7 +135,7 @@ def train(docs: DataFrame, text_col: str = "text", **kw) -> RatioModel:
 def find(text: str, model: RatioModel) -> tuple[list[Span], list[Span]]:
     """The pattern spans, and all spans with those of the model, in order."""
     base = pattern_spans(text)
-    more = [(a, b, 3) for a, b in other_runs(text, base) if model.is_secret(text[a:b])]
+    more = [(a, b, 3) for a, b in left_runs(text, base) if model.is_secret(text[a:b])]
     return base, sorted(base + more, key=lambda s: (s[0], s[2])) if more else base
 
 

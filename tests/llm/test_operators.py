@@ -232,6 +232,20 @@ def test_passages_of_items_without_an_id(spark):
     assert got[2]["hits"] == []
 
 
+def test_rest_of_a_run_around_a_pattern_is_scored():
+    model = secret_scan.RatioModel(np.full((secret_scan.WIDTH, secret_scan.WIDTH), 2.0))
+    key, hexes = "AKIA" + "Q7" * 8, "0123456789abcdef" * 2
+    left, right = "xQ9zKd81LmPw4TyUvB", "G" + "hTrQz9mN2kLpXw7"
+    text = f"see {left}{hexes}{right} and {key}{left} and short{hexes}Zz"
+    base, found = secret_scan.find(text, model)
+    assert secret_scan.left_runs("ab" * 9, []) == [(0, 18)]
+    taken = [text[a:b] for a, b, k in found if k == 3]
+    # capitals after the key belong to the access pattern, so the rest starts at the lower-case letter
+    assert taken == [left, right, left]
+    assert {s for s in found if s[2] < 3} == set(base)
+    assert left not in secret_scan.redacted(text, found)
+
+
 def test_lm_against_brute_force(spark):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "unseen " + prose(rng, 5)]
