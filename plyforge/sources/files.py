@@ -34,12 +34,13 @@ def json_items(spark: SparkSession, folder: str) -> DataFrame:
         raise FileNotFoundError(f"no JSON file in {folder}")
     parts = []
     if kinds[False]:
-        lines = spark.read.text(kinds[False])
-        keys = F.size(F.array_intersect(F.json_object_keys("value"), F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED)
-        parts.append(lines.where(keys).select(F.from_json("value", ITEM).alias("r")).select("r.*"))
+        parts.append(spark.read.text(kinds[False]).select("value"))
     if kinds[True]:
-        parts.append(spark.read.schema(ITEM).option("multiLine", "true").json(kinds[True]).where("_corrupt_record is null and moves is not null and fen is not null and best_action is not null"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        whole = spark.read.text(kinds[True], wholetext=True)
+        parts.append(whole.select(F.explode(F.from_json("value", "array<string>")).alias("value")))
+    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    keys = F.size(F.array_intersect(F.json_object_keys("value"), F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED)
+    out = items.where(keys).select(F.from_json("value", ITEM).alias("r")).select("r.*")
     return out.drop("_corrupt_record").withColumn("moves", F.transform("moves", lambda m: F.struct(m[0].alias("move"), m[1].cast("double").alias("win_prob"))))
 
 

@@ -66,3 +66,13 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text(json.dumps({"fen": FEN, "n": i}) + "\n")
     drain(file_stream(spark, str(tmp_path / "in"), "fen string, n int").select(scalars.fixed_fen(F.col("fen")).alias("f"), "n"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_json_items_are_the_same_by_file_form(spark, tmp_path):
+    items = ['{"fen": null, "moves": [["e2e4", "0.5"]], "best_action": "e2e4"}', '{"fen": "f", "moves": null, "best_action": null, "next_fen": "a [b], c"}', '{"fen": "g", "moves": []}']
+    got = []
+    for name, text in (("a.jsonl", "\n".join(items)), ("a.json", "[" + ",\n".join(items) + "]")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_text(text)
+        got.append(sorted(map(tuple, files.json_items(spark, str(tmp_path / name)).collect()), key=str))
+    assert len(got[0]) == 2 and got[0] == got[1]
