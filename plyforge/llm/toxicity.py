@@ -2,8 +2,8 @@
 
 Terms are grams of five bytes of the lower-cased text in which every other byte than letters, digits and
 those beyond ASCII is taken as a space, so they hold word beginnings and parts of words of any language. A bounded sample of labelled rows, ``per_class`` of each label by hash of the id (the
-documented bound), is the set of examples; all terms that tell its labels apart significantly by chi-square
-(at 0.001) are the vocabulary, and vectors are normalised within it. Votes are weighted by how many labelled rows an
+documented bound), is the set of examples; the terms that tell its labels apart best by chi-square, and
+significantly (at 0.001), are the vocabulary, ``vocabulary`` of them at most, and vectors are normalised within it. Votes are weighted by how many labelled rows an
 example stands for, 1 on average, so that the prior weighs the same for every size of the labels.
 
 Examples are laid out in blocks that share a label and their strongest term. For every term the inverted
@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
     return rows, {y: totals[y] / got[y] for y in got}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, vocabulary: int | None = None, least_df: int = 5, least_chi: float = 10.83, **kw) -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, vocabulary: int = 1024, least_df: int = 5, least_chi: float = 10.83, **kw) -> BlockMaxIndex:
     """Learns from labelled rows for which ``learn`` (a condition on labels) holds."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -213,8 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     miss = (F.lit(n0) - F.col("a")) * F.col("b") - F.col("a") * (F.lit(n1) - F.col("b"))
     df = F.col("a") + F.col("b")
     chi = miss * miss * ((n0 + n1) / (n0 * n1)) / (df * (F.lit(n0 + n1) - df + 1e-9))
-    top = table.where(df >= least_df).select("term", df.alias("df"), chi.alias("chi")).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term")
-    top = (top if vocabulary is None else top.limit(vocabulary)).toArrow()
+    top = table.where(df >= least_df).select("term", df.alias("df"), chi.alias("chi")).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary).toArrow()
     codes = top["term"].to_numpy().astype(np.uint64)
     order = np.argsort(codes)
     idf = np.log((1 + n0 + n1) / (1 + top["df"].to_numpy()[order])) + 1
