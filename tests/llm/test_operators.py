@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,16 @@ def test_lm_query_knows_single_occurrences_and_trigrams(spark, tmp_path):
     assert got[held[2]]["score"] < got[held[1]]["score"]
 
 
+def test_lm_children_by_pointers(spark):
+    texts = ["a b", "a c", "a b", "d b a"]
+    trie = lm_score.fit(docs_of(spark, texts), order=2, least_count=1)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b c d"])], ["text"])
+    a, b, c, d, end = trie.ids(next(lm_score.token_blocks(batch, "text"))[2])[0].tolist()
+    assert min(a, b, c, d, end) >= 0
+    for context, after in ((a, {b, c, end}), (b, {a, end}), (c, {end}), (d, {b}), (end, set())):
+        assert lm_score.children(trie, 2, context).tolist() == sorted(after)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
     for universe in (1, 300, 10**6, 2**40):
