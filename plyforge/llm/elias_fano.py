@@ -1,4 +1,8 @@
-"""Elias-Fano lists of non-decreasing numbers on plain arrays, with vectorised successor search."""
+"""Elias-Fano lists of non-decreasing numbers on plain arrays, with vectorised access and successor search.
+
+The lower bits of all numbers are packed at their exact width; the upper bits are unary, with the count of
+ones before each word as directory. Arrays are read where they are, so they may be memory-mapped.
+"""
 
 from __future__ import annotations
 
@@ -6,81 +10,139 @@ import numpy as np
 
 from .arrays import U64
 
-_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.uint64)
+_ALL, _ONE = U64(0xFFFFFFFFFFFFFFFF), U64(1)
+_A, _B, _C, _BYTES, _TOPS = (U64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+#: Where the k-th one of a byte stands.
+_IN_BYTE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _at = [b for b in range(8) if _byte >> b & 1]
+    _IN_BYTE[_byte, : len(_at)] = _at
 
 
-class EliasFano:
-    """Lower bits in whole bytes; upper bits in unary with counts of zeros before each word."""
+def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the k-th one (from 0) of each 64-bit word stands."""
+    s = words - ((words >> _ONE) & _A)
+    s = (s & _B) + ((s >> U64(2)) & _B)
+    s = ((s + (s >> U64(4))) & _C) * _BYTES  # byte i: ones of bytes 0 to i
+    k = k.astype(U64)
+    byte = np.bitwise_count(((k * _BYTES | _TOPS) - s) & _TOPS).astype(U64) << U64(3)
+    left = k - (((s << U64(8)) >> byte) & U64(255))
+    return byte.astype(np.int64) + _IN_BYTE[((words >> byte) & U64(255)).astype(np.int64), left.astype(np.int64)]
+
+
+def _lowest(words: np.ndarray) -> np.ndarray:
+    """Where the lowest one of each word stands; 64 without ones."""
+    return np.bitwise_count((words & (~words + _ONE)) - _ONE).astype(np.int64)
+
+
+class Packed:
+    """Unsigned numbers of one width in bits, one after the other."""
 
-    def __init__(self, low: np.ndarray, words: np.ndarray, zeros: np.ndarray, n: int, bits: int) -> None:
-        self.low, self.words, self.zeros, self.n, self.bits = low, words, zeros, n, bits
+    def __init__(self, words: np.ndarray, width: int) -> None:
+        self.words, self.width = words, width
+        self.mask = U64((1 << width) - 1)
+
+    @classmethod
+    def build(cls, values: np.ndarray, width: int) -> Packed:
+        n = len(values)
+        words = np.zeros(n * width // 64 + 2, U64)
+        if n and width:
+            values = values.astype(U64)
+            bit = np.arange(n, dtype=np.int64) * width
+            word, shift = bit >> 6, (bit & 63).astype(U64)
+            some = int(word[-1]) + 1  # each of them holds the start of a number
+            words[:some] = np.bitwise_or.reduceat(values << shift, -(-64 * np.arange(some, dtype=np.int64) // width))
+            over = np.flatnonzero((bit & 63) + width > 64)
+            words[word[over] + 1] |= values[over] >> (U64(64) - shift[over])
+        return cls(words, width)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(i), U64)
+        bit = i * self.width
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        return ((self.words[word] >> shift) | ((self.words[word + 1] << _ONE) << (U64(63) - shift))) & self.mask
+
+
+class EliasFano:
+    def __init__(self, low: np.ndarray, upper: np.ndarray, ones: np.ndarray, n: int, bits: int) -> None:
+        self.low, self.upper, self.ones, self.n, self.bits = Packed(low, bits), upper, ones, n, bits
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         """values: sorted, below universe."""
         n = len(values)
         values = values.astype(U64)
-        size = min(8, max(1, -(-(max(1, universe) // max(1, n)).bit_length() // 8)))
-        bits = 8 * size
-        high = values >> U64(bits) if bits < 64 else np.zeros(n, U64)
-        at = high.astype(np.int64) + np.arange(n)
-        last = (universe >> bits) + 1 if bits < 64 else 1
-        words = np.zeros((n + last) // 64 + 1, U64)
-        np.bitwise_or.at(words, at >> 6, U64(1) << (at & 63).astype(U64))
-        ones = np.bitwise_count(words).astype(np.int64)
-        zeros = np.concatenate(([0], np.cumsum(64 - ones)[:-1])).astype(np.uint32 if n + last < 2**31 else np.int64)
-        kind = _WIDTHS[size - 1]
-        low = (values & U64((1 << bits) - 1)).astype(kind)
-        return cls(low, words, zeros, n, bits)
+        bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
+        at = (values >> U64(bits)).astype(np.int64) + np.arange(n)
+        flags = np.zeros(((n + (universe >> bits) + 1) // 64 + 3) * 64, bool)
+        flags[at] = True
+        upper = np.packbits(flags, bitorder="little").view(U64)
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1])).astype(np.uint32 if n < 2**32 else np.int64)
+        return cls(Packed.build(values & U64((1 << bits) - 1), bits).words, upper, ones, n, bits)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.low, self.words, self.zeros]
-
-    def _zero(self, h: np.ndarray) -> np.ndarray:
-        """Positions of the h-th zeros of the upper bits."""
-        word = np.searchsorted(self.zeros, h.astype(self.zeros.dtype), "right") - 1
-        left = h - self.zeros[word].astype(np.int64)
-        bits = ~self.words[word]
-        place = np.zeros(len(h), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            some = np.bitwise_count(bits & U64((1 << width) - 1)).astype(np.int64)
-            right = left >= some
-            left -= np.where(right, some, 0)
-            place += right * width
-            bits = np.where(right, bits >> U64(width), bits)
-        return word * 64 + place
-
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value >= x within x's bucket of upper bits, and whether it equals x."""
+        return [self.low.words, self.upper, self.ones]
+
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """Positions of the i-th ones of the upper bits."""
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
+        return word * 64 + _select(self.upper[word], i - self.ones[word].astype(np.int64))
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """Values by index."""
+        return ((self._one(i) - i).astype(U64) << U64(self.bits)) | self.low[i]
+
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and i + 1."""
+        one = self._one(i)
+        word, bit = one >> 6, (one & 63).astype(U64)
+        left = self.upper[word] & ((_ALL << _ONE) << bit)
+        while len(empty := np.flatnonzero(left == 0)):
+            word[empty] += 1
+            left[empty] = self.upper[word[empty]]
+        following = word * 64 + _lowest(left)
+        return ((one - i).astype(U64) << U64(self.bits)) | self.low[i], ((following - i - 1).astype(U64) << U64(self.bits)) | self.low[i + 1]
+
+    def _after_zeros(self, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The positions just after the h-th zeros, which lie in the words from low to high."""
+        low, high = low.copy(), np.minimum(high, len(self.upper) - 1)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_] + 1) >> 1
+            ok = 64 * middle - self.ones[middle].astype(np.int64) < h[open_]
+            low[open_[ok]] = middle[ok]
+            high[open_[~ok]] = middle[~ok] - 1
+        return low * 64 + _select(~self.upper[low], h - 1 - (64 * low - self.ones[low].astype(np.int64))) + 1
+
+    def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the values with index from start to end (all below start being less than x, those from end on more): the index of the first in x's bucket of upper bits that is x or more, and whether it is x."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         x = x.astype(U64)
-        h = (x >> U64(self.bits)).astype(np.int64) if self.bits < 64 else np.zeros(len(x), np.int64)
-        end = self._zero(h) - h
-        start = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) - (h - 1), 0)
-        want = (x & U64((1 << self.bits) - 1)).astype(self.low.dtype)
-        low, high = start.copy(), end.copy()
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
+        h, want = (x >> U64(self.bits)).astype(np.int64), x & U64((1 << self.bits) - 1)
+        # where the bucket begins that holds x, or index start where that lies within it
+        begin = h + start
+        word = begin >> 6
+        before = self.ones[word].astype(np.int64) + np.bitwise_count(self.upper[word] & ((_ONE << (begin & 63).astype(U64)) - _ONE))
+        ahead = np.flatnonzero(begin - before < h)
+        begin[ahead] = self._after_zeros(h[ahead], word[ahead], (h[ahead] + end[ahead]) >> 6)
+        # how many values follow in the bucket: ones in a row
+        word, bit = begin >> 6, (begin & 63).astype(U64)
+        run = _lowest(~((self.upper[word] >> bit) | ((self.upper[word + 1] << _ONE) << (U64(63) - bit))))
+        low = begin - h
+        high = low + run
+        long = np.flatnonzero(run == 64)
+        if len(long):
+            # the bucket may go on beyond end
+            high[long] = self._after_zeros(h[long] + 1, word[long], np.full(len(long), len(self.upper) - 1)) - 1 - h[long]
+        high = np.minimum(high, end)
+        last = high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_]) >> 1
             less = self.low[middle] < want[open_]
             low[open_[less]] = middle[less] + 1
             high[open_[~less]] = middle[~less]
-        inside = low < end
-        return low, inside & (self.low[np.minimum(low, self.n - 1)] == want)
-
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """Values by index: select on the upper bits."""
-        ones = np.arange(len(self.words), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(ones, i, "right") - 1
-        left, bits, place = i - ones[word], self.words[word], np.zeros(len(i), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            some = np.bitwise_count(bits & U64((1 << width) - 1)).astype(np.int64)
-            right = left >= some
-            left -= np.where(right, some, 0)
-            place += right * width
-            bits = np.where(right, bits >> U64(width), bits)
-        high = (word * 64 + place - i).astype(U64)
-        return (high << U64(self.bits) if self.bits < 64 else U64(0)) | self.low[i].astype(U64)
+        found = low < last
+        at = np.flatnonzero(found)
+        found[at] = self.low[low[at]] == want[at]
+        return low, found

@@ -1,26 +1,31 @@
 """N-gram language model in an Elias-Fano trie, trained on and scoring whole texts.
 
-Tokens are lower-cased words and one end for each text. The first level holds every distinct token of the
-training texts by its 64-bit hash with its count. Level k holds the n-grams of k tokens with ``least_count``
-occurrences or more, as children of the (k-1)-gram nodes: node ids are positions within the level, the
-children of a node are its next tokens in order, and the whole level is one non-decreasing list
-(context rank * vocabulary + token) in Elias-Fano code with monotone pointers to each context's first
-child. Each n-gram has its discounted probability (c - d) / C quantised to 8 bits on a log scale, each
-context what is left to the shorter context likewise: P = found + left * P(shorter), where C counts
-all occurrences after the context, also of n-grams that are not kept. A lookup finds the context's rank, then searches
-the successor of rank * vocabulary + token within that context.
-
-Levels are built in shards, each from a range of contexts with an even share of occurrences: tasks
-count n-grams of packed ids in sorted runs, one shuffle brings a shard's runs together, and its task writes one
-file to the shared folder. Scoring tasks memory-map these files, so they hold only pages they touch;
-on file systems that can't be mapped a shard is read when first needed. Only the shards' descriptions come to the driver.
-
-Null and empty texts are one end. Without training texts every token has the uniform unknown probability 1.
-Repeated rows count and are scored each; other columns are not read.
+Tokens are lower-cased words and one end for each text. The first level is an Elias-Fano list of the
+64-bit hashes of all distinct tokens, with their counts at the exact width. Level k holds the n-grams of
+k tokens with ``least_count`` occurrences or more, as children of the (k-1)-gram nodes: node ids are
+positions within the level. Monotone pointers (Elias-Fano) lead from each context to its first child and
+the next context's first; the children are one non-decreasing list (context * vocabulary + token, the
+context counted from the shard's first) in Elias-Fano code. Each n-gram has its discounted probability
+(c - d) / C quantised to 8 bits on a log scale, each context what is left to the shorter context likewise:
+P = found + left * P(shorter), where C counts all occurrences after the context, also of n-grams that are
+not kept. A lookup takes the context's range of children from the pointers and searches the successor of
+the token within that range.
+
+A block's lookups are sorted and made once for each distinct n-gram, so they go through the levels in order.
+Levels are built in shards, each from a range of contexts with an even share of occurrences, and as many
+as the occurrences ask for: tasks count n-grams in sorted runs, one shuffle brings a shard's runs together,
+and its task writes one file to the shared folder. Scoring tasks memory-map these files, so they hold only
+pages they touch; on file systems that can't be mapped a shard is read when first needed. Only the shards'
+descriptions come to the driver. Keys that would not fit 63 bits raise an error.
+
+Null and empty texts are one end; an empty table has no rows. Without training texts every token has the uniform unknown probability 1.
+Repeated rows count and are scored each; n-grams of equal counts don't depend on any order. Other columns
+are not read, but for those passed, whose names must differ from those of the result.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,11 +36,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import SPACED, U64, planes, text_blocks, unplanes, word_hashes, words
-from .elias_fano import EliasFano
-from .shared import Scratch, shuffle_partitions
+from .elias_fano import EliasFano, Packed
+from .shared import Scratch, distinct_names, shuffle_partitions
 
 END = 0x5EEDE2D0000000E1
 RUN = 1 << 21
+#: Occurrences that a shard is made of, about; its task holds them.
+SHARD = 6 << 20
+BLOCK = 2 << 20
 QUANTUM = 32  # steps for a power of ten
 
 
@@ -49,9 +57,14 @@ _VALUE = 10.0 ** (-np.arange(256) / QUANTUM)
 _OPENED: dict[str, list[np.ndarray]] = {}
 
 
+def _system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Hadoop names S3 by other schemes."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
 def write_arrays(folder: str, arrays: list[np.ndarray]) -> tuple[str, str]:
     """A new file with the arrays, and its layout; a task that runs again writes another file."""
-    system, path = pafs.FileSystem.from_uri(folder)
+    system, path = _system(folder)
     path = f"{path}/{uuid.uuid4().hex}.level"
     if isinstance(system, pafs.LocalFileSystem):
         system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -71,9 +84,9 @@ def read_arrays(folder: str, path: str, layout: str) -> list[np.ndarray]:
     if path not in _OPENED:
         if len(_OPENED) > 4096:
             _OPENED.clear()
-        system, _ = pafs.FileSystem.from_uri(folder)
+        system, _ = _system(folder)
         if isinstance(system, pafs.LocalFileSystem):
-            data = np.memmap(path, np.uint8, "r")
+            data = np.memmap(path, np.uint8, "r").view(np.ndarray)
         else:
             with system.open_input_file(path) as f:
                 data = np.frombuffer(f.read(), np.uint8)
@@ -104,52 +117,40 @@ class Trie:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids (-1: unknown) and counts."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        firsts = np.array([s.first for s in self.levels[0]], U64)
-        which = np.searchsorted(firsts, hashes, "right") - 1
-        for number, rows in _grouped(which):
-            shard = self.levels[0][number]
-            keys, count, table = read_arrays(self.folder, shard.path, shard.layout)
-            shift, start = shard.numbers
-            x = hashes[rows]
-            bucket = np.minimum((x - U64(start)) >> U64(shift), U64(len(table) - 2)).astype(np.int64)
-            at, end = table[bucket].astype(np.int64), table[bucket + 1].astype(np.int64)
-            while True:
-                behind = np.flatnonzero((at < end) & (keys[np.minimum(at, len(keys) - 1)] < x))
-                if not len(behind):
-                    break
-                at[behind] += 1
-            safe = np.minimum(at, len(keys) - 1)
-            ok = keys[safe] == x
-            ids[rows[ok]] = shard.base + safe[ok]
-            counts[rows[ok]] = count[safe[ok]]
-        return ids, counts
+        distinct, where = np.unique(hashes, return_inverse=True)
+        ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        for shard, a, b in _shards(self.levels[0], distinct, U64):
+            keys, count = _tokens(self.folder, shard)
+            x = distinct[a:b] - U64(shard.first)
+            inside = np.flatnonzero(x <= U64(shard.numbers[0]))
+            at, ok = keys.successor(x[inside], np.zeros(len(inside), np.int64), np.full(len(inside), shard.n))
+            rows = a + inside[ok]
+            ids[rows] = shard.base + at[ok]
+            counts[rows] = count[at[ok]].astype(np.int64)
+        return ids[where], counts[where]
 
     def find(self, level: int, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a level's (context, token): node ids (-1: none), found probability and what the context leaves. Negative contexts or tokens are unknown."""
+        n, known = len(context), np.flatnonzero(context >= 0)
+        context, token, where = _distinct(context[known], token[known], self.vocabulary)
         node, found, left = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        shards = self.levels[level - 1]
-        firsts = np.array([s.first for s in shards], np.int64)
-        known = np.flatnonzero(context >= 0)
-        which = np.searchsorted(firsts, context[known], "right") - 1
-        for number, rows in _grouped(which):
-            if number < 0 or not shards[number].n:
-                continue
-            shard, rows = shards[number], known[rows]
-            contexts, children, probability, rest = _opened(self.folder, shard)
+        for shard, a, b in _shards(self.levels[level - 1], context, np.int64):
+            pointers, children, probability, rest = _opened(self.folder, shard)
+            rows = a + np.flatnonzero(context[a:b] - shard.first < shard.numbers[0])
             relative = context[rows] - shard.first
-            in_range = relative < shard.numbers[0]
-            rows, relative = rows[in_range], relative[in_range]
-            rank, is_there = contexts.successor(relative)
-            rows, rank = rows[is_there], rank[is_there]
-            left[rows] = _VALUE[rest[rank]]
-            word = token[rows] >= 0
-            rows, rank = rows[word], rank[word]
-            at, is_there = children.successor(rank * self.vocabulary + token[rows])
-            rows, at = rows[is_there], at[is_there]
+            code = rest[relative]
+            left[rows] = _VALUE[code]
+            some = (code > 0) & (token[rows] >= 0)  # contexts without children leave all
+            rows, relative = rows[some], relative[some]
+            start, end = (x.astype(np.int64) for x in pointers.pair(relative))
+            at, ok = children.successor(relative * self.vocabulary + token[rows], start, end)
+            rows, at = rows[ok], at[ok]
             node[rows] = shard.base + at
             found[rows] = _VALUE[probability[at]]
-        return node, found, left
+        out = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        for whole, part in zip(out, (node, found, left), strict=True):
+            whole[known] = part[where]
+        return out
 
     def log10(self, ids: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Base and model log10 probability of each token; firsts: where texts start."""
@@ -170,37 +171,56 @@ def _ages(n: int, firsts: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
 
 
-def _grouped(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(which, kind="stable")
-    cut = np.flatnonzero(np.diff(which[order])) + 1
-    for rows in np.split(order, cut):
-        if len(rows):
-            yield int(which[rows[0]]), rows
+def _distinct(context: np.ndarray, token: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and where each pair stands among them. Tokens are -1 or more."""
+    if not len(context):
+        return context, token, np.empty(0, np.int64)
+    if int(context.max()) < (1 << 62) // (vocabulary + 1):
+        key, where = np.unique(context * (vocabulary + 1) + token + 1, return_inverse=True)
+        return key // (vocabulary + 1), key % (vocabulary + 1) - 1, where
+    order = np.lexsort((token, context))
+    c, t = context[order], token[order]
+    new = np.append(True, (c[1:] != c[:-1]) | (t[1:] != t[:-1]))
+    where = np.empty(len(c), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return c[new], t[new], where
+
+
+def _shards(shards: list[Shard], ordered: np.ndarray, kind: type) -> Iterator[tuple[Shard, int, int]]:
+    """The shards that sorted numbers may be in, and the numbers' range in each."""
+    cut = np.searchsorted(ordered, np.array([s.first for s in shards], kind))
+    for shard, a, b in zip(shards, cut.tolist(), [*cut[1:].tolist(), len(ordered)], strict=True):
+        if a < b and shard.n:
+            yield shard, a, b
+
+
+def _tokens(folder: str, shard: Shard) -> tuple[EliasFano, Packed]:
+    a = read_arrays(folder, shard.path, shard.layout)
+    _, bits, width = shard.numbers
+    return EliasFano(*a[0:3], shard.n, bits), Packed(a[3], width)
 
 
 def _opened(folder: str, shard: Shard) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
+    """Pointers, children, the children's probabilities and what each context leaves."""
     a = read_arrays(folder, shard.path, shard.layout)
-    _, n_contexts, context_bits, child_bits, _ = shard.numbers
-    return EliasFano(*a[0:3], n_contexts, context_bits), EliasFano(*a[3:6], shard.n, child_bits), a[9], a[10]
+    width, pointer_bits, child_bits = shard.numbers
+    return EliasFano(*a[0:3], width + 1, pointer_bits), EliasFano(*a[3:6], shard.n, child_bits), a[6], a[7]
 
 
 def children(trie: Trie, level: int, context: int) -> np.ndarray:
     """Token ids that the level has after a context, by its pointers."""
     for shard in trie.levels[level - 1]:
-        if shard.n and 0 <= context - shard.first < shard.numbers[0]:
-            a = read_arrays(trie.folder, shard.path, shard.layout)
-            contexts, values, _, _ = _opened(trie.folder, shard)
-            rank, ok = contexts.successor(np.array([context - shard.first]))
-            if ok[0]:
-                pointers = EliasFano(*a[6:9], shard.numbers[1] + 1, shard.numbers[4])
-                low, high = pointers.at(np.array([rank[0], rank[0] + 1])).astype(np.int64)
-                return values.at(np.arange(low, high)).astype(np.int64) - int(rank[0]) * trie.vocabulary
+        relative = context - shard.first
+        if shard.n and 0 <= relative < shard.numbers[0]:
+            pointers, values, _, _ = _opened(trie.folder, shard)
+            start, end = pointers.pair(np.array([relative]))
+            return values.at(np.arange(int(start[0]), int(end[0]))).astype(np.int64) - relative * trie.vocabulary
     return np.empty(0, np.int64)
 
 
 def token_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, token hashes with an end for each row, where rows start)."""
-    for low, high, data, offsets in text_blocks(batch, column):
+    for low, high, data, offsets in text_blocks(batch, column, BLOCK):
         starts, ends, bounds = words(data, offsets, SPACED)
         h = np.insert(word_hashes(data, starts, ends), bounds[1:], U64(END))
         yield low, high, h, bounds[:-1] + np.arange(high - low)
@@ -229,13 +249,13 @@ def _vocabulary(texts: DataFrame, folder: str, parts: int) -> list[Shard]:
         if not got:
             return
         keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        span = int(keys[-1]) - int(keys[0])
-        shift = max(0, span.bit_length() - len(keys).bit_length())
-        table = np.searchsorted((keys - keys[0]) >> U64(shift), np.arange((span >> shift) + 2, dtype=U64)).astype(np.uint32)
-        path, layout = write_arrays(folder, [keys, n.astype(np.uint32 if n.max() < 2**32 else np.int64), table])
+        span = int(keys[-1] - keys[0])
+        listed = EliasFano.build(keys - keys[0], span + 1)
+        width = int(n.max()).bit_length()
+        path, layout = write_arrays(folder, [*listed.arrays(), Packed.build(n, width).words])
         mass = np.concatenate(([0], np.cumsum(n)))
         marks = [int(mass[len(n) * i // 64]) for i in range(65)]
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(keys)]), pa.array([str(int(keys[0]))]), pa.array([marks]), pa.array([[str(shift), str(int(keys[0]))]])], ["path", "layout", "n", "first", "mass", "numbers"])
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(keys)]), pa.array([str(int(keys[0]))]), pa.array([marks]), pa.array([[str(span), str(listed.bits), str(width)]])], ["path", "layout", "n", "first", "mass", "numbers"])
 
     table = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # ranges of even width: hashes are uniform, and no sample of a large table is needed
@@ -280,32 +300,45 @@ def _context_cuts(shards: list[Shard], parts: int) -> np.ndarray:
     return np.unique(np.interp(want, mass, nodes).astype(np.int64)) if nodes else np.empty(0, np.int64)
 
 
+def _counted(context: np.ndarray, token: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and how often each is there."""
+    if not len(context) or int(context.max()) < (1 << 62) // vocabulary:
+        key, n = np.unique(context * vocabulary + token, return_counts=True)
+        return key // vocabulary, key % vocabulary, n
+    context, token, where = _distinct(context, token, vocabulary)
+    return context, token, np.bincount(where)
+
+
 def _level(texts: DataFrame, trie: Trie, parts: int, least_count: int, discount: float) -> list[Shard]:
-    level = len(trie.levels) + 1
+    level, v = len(trie.levels) + 1, trie.vocabulary
     cuts = _context_cuts(trie.levels[-1], parts)
-    v = trie.vocabulary
+    lows = np.concatenate(([0], cuts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            # contexts and tokens have ids below 2**32
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            part = np.searchsorted(cuts, (key // U64(v)).astype(np.int64), "right")
-            edge = np.searchsorted(part, np.arange(len(cuts) + 2))
-            rows = [(p, a, b) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), pa.array([planes(np.diff(key[a:b], prepend=U64(0))) for _, a, b in rows], pa.binary()), pa.array([planes(n[a:b].astype(np.uint32)) for _, a, b in rows], pa.binary())], ["part", "steps", "n"])
+            context, token, n = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)), v)
+            edge = np.searchsorted(context, cuts)
+            rows = []
+            for p, (a, b) in enumerate(zip([0, *edge], [*edge, len(context)], strict=True)):
+                if a < b:
+                    if int(context[b - 1] - lows[p] + 1) * v >= 1 << 63:
+                        raise OverflowError(f"a range of contexts times {v} tokens exceeds 63 bits; use more shuffle partitions")
+                    key = (context[a:b] - lows[p]) * v + token[a:b]
+                    rows.append((p, planes(np.diff(key, prepend=0).astype(U64)), planes(n[a:b].astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), pa.array([x for _, x, _ in rows], pa.binary()), pa.array([x for _, _, x in rows], pa.binary())], ["part", "steps", "n"])
 
         for batch in batches:
             for _, _, h, firsts in token_blocks(batch, "text"):
                 ids, _ = trie.ids(h)
-                age, context = _ages(len(ids), firsts), ids.copy()
+                age, context = _ages(len(ids), firsts), ids
                 for k in range(2, level):
                     previous = np.concatenate(([-1], context[:-1]))
                     previous[age < k - 1] = -1
                     context = trie.find(k, previous, ids)[0]
                 ok = np.flatnonzero((age[1:] >= level - 1) & (context[:-1] >= 0))
-                held.append(context[ok].astype(U64) * U64(v) + ids[ok + 1].astype(U64))
+                held.append((context[ok], ids[ok + 1]))
                 size += len(ok)
                 if size >= RUN:
                     yield out()
@@ -314,38 +347,49 @@ def _level(texts: DataFrame, trie: Trie, parts: int, least_count: int, discount:
             yield out()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        # rows come sorted by part, so one part is held at a time
+        now, held, size = None, [], 0
         for batch in batches:
-            for part, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part, []).append((np.cumsum(unplanes(steps, U64), dtype=U64), unplanes(n, np.uint32)))
-                if len(held[part]) >= 32:
-                    held[part] = [_added(held[part])]
-        for part in list(held):
-            key, n = _added(held.pop(part))
-            context, token = (key // U64(v)).astype(np.int64), (key % U64(v)).astype(np.int64)
-            begins = np.flatnonzero(np.diff(context, prepend=-1))
-            total = np.repeat(np.add.reduceat(n, begins), np.diff(np.append(begins, len(n))))
-            keep = n >= least_count
-            context, token, kept, total = context[keep], token[keep], n[keep], total[keep]
-            if not len(kept):
-                continue
-            begins = np.flatnonzero(np.diff(context, prepend=-1))
-            names = context[begins]
-            code = quantised((kept - discount) / total)
-            rest = np.maximum(1 - np.add.reduceat((kept - discount) / total, begins), 1e-8)
-            rank = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(kept))))
-            width = int(names[-1] - names[0]) + 1
-            a = EliasFano.build(names - names[0], width)
-            b = EliasFano.build(rank * v + token, len(begins) * v)
-            c = EliasFano.build(np.append(begins, len(kept)), len(kept) + 1)
-            path, layout = write_arrays(trie.folder, [*a.arrays(), *b.arrays(), *c.arrays(), code, quantised(rest)])
-            mass = np.concatenate(([0], np.cumsum(kept)))
-            marks = [int(mass[len(kept) * i // 64]) for i in range(65)]
-            numbers = [str(x) for x in (width, len(begins), a.bits, b.bits, c.bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(kept)]), pa.array([str(int(names[0]))]), pa.array([marks]), pa.array([numbers])], ["path", "layout", "n", "first", "mass", "numbers"])
+            for part, steps, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if part != now:
+                    if held:
+                        yield from finished(now, held)
+                    now, held, size = part, [], 0
+                held.append((np.cumsum(unplanes(steps.as_buffer(), U64), dtype=U64), unplanes(n.as_buffer(), np.uint32)))
+                size += len(held[-1][0])
+                if len(held) > 1 and size >= max(RUN, 2 * len(held[0][0])):
+                    held = [_added(held)]
+                    size = len(held[0][0])
+        if held:
+            yield from finished(now, held)
+
+    def finished(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, n = _added(held)
+        held.clear()
+        context, token = (key // U64(v)).astype(np.int64), (key % U64(v)).astype(np.int64)
+        begins = np.flatnonzero(np.diff(context, prepend=-1))
+        total = np.repeat(np.add.reduceat(n, begins), np.diff(np.append(begins, len(n))))
+        keep = n >= least_count
+        context, token, kept, total = context[keep], token[keep], n[keep], total[keep]
+        if not len(kept):
+            return
+        first = int(context[0])
+        context -= first
+        width = int(context[-1]) + 1
+        begins = np.flatnonzero(np.diff(context, prepend=-1))
+        share = (kept - discount) / total
+        rest = np.zeros(width, np.uint8)  # 0 where a context has no children
+        rest[context[begins]] = np.maximum(quantised(np.maximum(1 - np.add.reduceat(share, begins), 1e-8)), 1)
+        pointers = EliasFano.build(np.searchsorted(context, np.arange(width + 1)), len(kept) + 1)
+        values = EliasFano.build(context * v + token, width * v)
+        path, layout = write_arrays(trie.folder, [*pointers.arrays(), *values.arrays(), quantised(share), rest])
+        mass = np.concatenate(([0], np.cumsum(kept)))
+        marks = [int(mass[len(kept) * i // 64]) for i in range(65)]
+        numbers = [str(x) for x in (width, pointers.bits, values.bits)]
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(kept)]), pa.array([str(first + int(lows[part]))]), pa.array([marks]), pa.array([numbers])], ["path", "layout", "n", "first", "mass", "numbers"])
 
     blocks = texts.mapInArrow(count, "part int, steps binary, n binary")
-    return _described(blocks.repartition(parts, "part").mapInArrow(write, _SHARD).collect())
+    return _described(blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(write, _SHARD).collect())
 
 
 def _added(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +400,7 @@ def _added(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return key[begins], np.add.reduceat(n, begins)
 
 
-def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", order: int = 2, least_count: int = 2, discount: float = 0.6) -> Trie:
+def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", order: int = 3, least_count: int = 1, discount: float = 0.6) -> Trie:
     """Learns from the rows for which ``learn`` holds."""
     spark = docs.sparkSession
     texts = (docs if learn is None else docs.where(learn)).select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -367,12 +411,13 @@ def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", or
     trie = Trie(folder, [shards], sum(s.mass[-1] for s in shards), sum(s.n for s in shards))
     for _ in range(2, order + 1):
         if trie.vocabulary:
-            trie.levels.append(_level(texts, trie, parts, least_count, discount))
+            trie.levels.append(_level(texts, trie, max(parts, -(-trie.tokens // SHARD)), least_count, discount))
     return trie
 
 
 def score(docs: DataFrame, trie: Trie, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The passed columns, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    distinct_names(passed, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

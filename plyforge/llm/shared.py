@@ -44,5 +44,11 @@ class Scratch:
         self.saved.remove(name)
 
 
+def distinct_names(passed: tuple[str, ...], *made: str) -> None:
+    """A passed column of a result's own name would be ambiguous."""
+    if twice := sorted({c for c in (*passed, *made) if (*passed, *made).count(c) > 1}):
+        raise ValueError(f"passed columns and results share names: {', '.join(twice)}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

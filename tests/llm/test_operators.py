@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plyforge.llm import ann, chat_format, decontaminate, lm_score, ngram_join, packing, queries, secret_scan, sharding, toxicity, url_filter
-from plyforge.llm.elias_fano import EliasFano
+from plyforge.llm.elias_fano import EliasFano, Packed
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, spans string, score double"
 WORDS = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "er", "ion", "ol", "ux")]
@@ -235,10 +235,13 @@ def test_rest_of_a_run_around_a_pattern_is_scored():
     assert left not in secret_scan.redacted(text, found)
 
 
-def test_lm_against_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(lm_score, "SHARD", 300)  # more shards than shuffle partitions
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "unseen " + prose(rng, 5)]
-    trie = lm_score.fit(docs_of(spark, texts[:60]), order=3)
+    trie = lm_score.fit(docs_of(spark, texts[:60]), order=3, least_count=least)
+    assert len(trie.levels[1]) > 4
     uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
     tokens = lambda t: [*(t or "").lower().split(), None]
     for t in texts[:60]:
@@ -246,18 +249,19 @@ def test_lm_against_brute_force(spark):
         uni.update(w)
         bi.update(zip(w, w[1:], strict=False))
         tri.update(x for x in zip(w, w[1:], w[2:], strict=False) if bi.get(x[:2], 0) or True)
-    kept = {k for k, n in bi.items() if n >= 2}
+    kept = {k for k, n in bi.items() if n >= least}
     total, v = sum(uni.values()), len(uni)
 
     def level(counts, context, word, shorter, usable=lambda c: True):
         after = {k: n for k, n in counts.items() if k[:-1] == context}
-        if not usable(context) or not any(n >= 2 for n in after.values()):
+        if not usable(context) or not any(n >= least for n in after.values()):
             return shorter
         c = sum(after.values())
-        left = max(1e-8, 1 - sum(n - 0.6 for n in after.values() if n >= 2) / c)
+        left = max(1e-8, 1 - sum(n - 0.6 for n in after.values() if n >= least) / c)
         code = lambda p: 10 ** (-np.ceil(-np.log10(p) * 32 - 1e-9).clip(0, 255) / 32)
+        rest = max(1, np.ceil(-np.log10(left) * 32 - 1e-9).clip(0, 255))
         n = after.get((*context, word), 0)
-        return (code((n - 0.6) / c) if n >= 2 else 0) + code(left) * shorter
+        return (code((n - 0.6) / c) if n >= least else 0) + 10 ** (-rest / 32) * shorter
 
     for r in lm_score.score(docs_of(spark, texts), trie).collect():
         w = tokens(texts[r["doc_id"]])
@@ -298,18 +302,42 @@ def test_lm_children_by_pointers(spark):
         assert lm_score.children(trie, 2, context).tolist() == sorted(after)
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(10)
+    for width in (0, 1, 3, 17, 43, 63, 64):
+        values = rng.integers(0, 2 ** min(width, 63), 1000, dtype=np.uint64)
+        assert (Packed.build(values, width)[np.arange(1000)] == values).all()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
-    for universe in (1, 300, 10**6, 2**40):
+    for universe in (1, 300, 10**6, 2**40, 2**62):
         values = np.unique(rng.integers(0, universe, 500))
-        ef = EliasFano.build(values, universe)
-        assert (ef.at(np.arange(len(values))) == values.astype(np.uint64)).all()
+        ef, n = EliasFano.build(values, universe), len(values)
+        assert (ef.at(np.arange(n)) == values.astype(np.uint64)).all()
+        assert all((a == values[i : n - 1 + i]).all() for i, a in enumerate(ef.pair(np.arange(n - 1))))
         probe = np.unique(np.concatenate((values, rng.integers(0, universe, 300))))
-        at, found = ef.successor(probe)
+        at, found = ef.successor(probe, np.zeros(len(probe), np.int64), np.full(len(probe), n))
         assert (found == np.isin(probe, values)).all()
         assert (values[at[found]] == probe[found]).all()
 
 
+@pytest.mark.parametrize(("vocabulary", "contexts"), [(7, 2000), (100, 3000), (30000, 3000), (10**6, 300)])
+def test_successor_within_a_context(vocabulary, contexts):
+    rng = np.random.default_rng(11)
+    sizes = np.minimum(rng.zipf(1.3, contexts), vocabulary)
+    sizes[rng.random(contexts) < 0.3] = 0
+    sizes[10:14] = min(vocabulary, 20000)  # full and very large neighbours
+    values = np.concatenate([np.sort(rng.choice(vocabulary, n, replace=False)) + r * vocabulary for r, n in enumerate(sizes)]).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    pointers, listed = EliasFano.build(first, len(values) + 1), EliasFano.build(values, contexts * vocabulary)
+    x = np.concatenate((rng.choice(values, 5000), rng.integers(0, contexts * vocabulary, 5000)))
+    start, end = (p.astype(np.int64) for p in pointers.pair(x // vocabulary))
+    assert (start == first[x // vocabulary]).all() and (end == first[x // vocabulary + 1]).all()
+    at, found = listed.successor(x, start, end)
+    assert (found == np.isin(x, values)).all() and (values[at[found]] == x[found]).all()
+
+
 def test_url_filter(spark):
     urls = [("http://A.Org", "a.org", "", None), ("x", "", "", None), (None, "", "", None), ("http://example.org/es/1?x", "example.org", "/es/1", "example.org/es/"), ("http://m.example.org/en/12#t", "m.example.org", "/en/12", "example.org/en/1"), ("http://b.org/z", "b.org", "/z", "org/"), ("http://c.com/de/", "c.com", "/de/", "com/de/"), ("http://xorg/de/", "xorg", "/de/", None)]
     more = [("http://bad.com/de/%d" % i, "bad.com", "/de/%d" % i, "com/de/") for i in range(60)] + [("http://bad.com/en/1", "bad.com", "/en/1", None), ("http://new.net/a", "new.net", "/a", None)] + [("http://h%d.org/a" % i, "h%d.org" % i, "/a", "org/") for i in range(100)]
