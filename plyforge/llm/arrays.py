@@ -24,6 +24,8 @@ def _folded(table: np.ndarray) -> np.ndarray:
 #: A random value for each byte; A-Z have those of a-z, so hashing lower-cases.
 BYTE_VALUE = _folded(_RNG.integers(1, 2**64 - 1, 256, dtype=U64))
 _POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, U64))
+#: For words beyond 4,096 bytes, by the place's upper bits; made longer where a word needs it.
+_FAR = np.ones(1, U64)
 #: Odd multipliers that make a hash of several words depend on their order.
 PLACE = _RNG.integers(1, 2**64 - 1, 64, dtype=U64) | U64(1)
 
@@ -89,12 +91,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     place -= np.repeat(first, sizes)
     source = np.repeat(starts, sizes)
     source += place
-    place &= 4095
     value = BYTE_VALUE[data[source]]
-    value *= _POWER[place]
+    value *= _POWER[place & 4095]
+    if (most := int(sizes.max())) > 4096:
+        value *= _far((most >> 12) + 1)[place >> 12]
     return mix(np.add.reduceat(value, first) + sizes.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def _far(n: int) -> np.ndarray:
+    global _FAR
+    if n > len(_FAR):
+        _FAR = np.concatenate((np.ones(1, U64), np.cumprod(np.full(2 * n, _POWER[-1], U64))))
+    return _FAR
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive words; it may span rows, so mask with row bounds."""
     n = len(hashes) - k + 1
