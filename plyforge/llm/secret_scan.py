@@ -1,26 +1,32 @@
 """Secrets in texts: pattern spans, and spans that a character Markov model finds more likely random than ordinary.
 
 Two first-order chains over a 65-symbol alphabet (letters, digits, ``+/_``, and an end) are trained from
-labelled samples: what the patterns find is a random string, every other candidate run of the corpus is
-an ordinary identifier. Transitions are counted in each task and summed by Spark, so the model is a
-table of fixed size whatever the corpus. A run is a secret where its log-likelihood ratio is high.
+labelled samples. Samples may be given (run, label); else the corpus labels itself: what the patterns find is
+a random string, every other candidate run an ordinary identifier, and in a second round only those that
+the first round's model does not find random, so that lone secrets teach the ordinary chain little.
+Transitions are counted in each task and summed by Spark, so the model is a table of fixed size whatever
+the corpus. A run is a secret where its log-likelihood ratio is high.
 
 Null and empty texts have no spans. A text is scanned whole, whatever its length. Rows are kept one for
-one, repeated rows too; other columns of the input are not read.
+one, repeated rows too, and tied spans (of one start) stand in the order of KINDS; an empty table gives no rows and
+a corpus without samples of either label a model that finds nothing. Other columns of the input are not read,
+but for those passed, whose names must differ from those of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+from .shared import distinct_names, map_texts
+
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the models can call a secret: a run of this alphabet.
@@ -106,8 +112,38 @@ class RatioModel:
         return score >= self.least and score >= self.least_mean * len(run)
 
 
-def train(docs: DataFrame, text_col: str = "text", **kw) -> RatioModel:
-    """Fits the chains on every text; what comes to the driver are two tables of fixed size."""
+def train(docs: DataFrame, text_col: str = "text", samples: DataFrame | None = None, rounds: int = 2, **kw) -> RatioModel:
+    """Fits the chains on given (run, is_secret) samples, or else on every text; what comes to the driver are two tables of fixed size."""
+    if samples is not None:
+        return _fitted(samples.select(F.col("run"), F.col("is_secret").cast("boolean")).where("run is not null and is_secret is not null"), _count_samples, kw)
+    model, texts = None, docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    for _ in range(rounds):
+        model = _fitted(texts, _count_texts(model), kw)
+    return model
+
+
+def _fitted(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kw: dict) -> RatioModel:
+    table = map_texts(rows, count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros((2, WIDTH * WIDTH), np.int64)
+    totals[table["label"].to_numpy(), table["pair"].to_numpy()] = table["n"].to_numpy()
+    return RatioModel.fit(totals[1], totals[0], **kw)
+
+
+def _totals(totals: np.ndarray) -> pa.RecordBatch:
+    label, pair = np.nonzero(totals)
+    return pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(totals[label, pair])], ["label", "pair", "n"])
+
+
+def _count_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros((2, WIDTH * WIDTH), np.int64)
+    for batch in batches:
+        for run, is_secret in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            totals[int(is_secret)] += transitions([run])
+    yield _totals(totals)
+
+
+def _count_texts(model: RatioModel | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the corpus's own samples; ordinary ones only as far as the model, if there is one, doesn't find them random."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, WIDTH * WIDTH), np.int64)
@@ -120,16 +156,12 @@ def train(docs: DataFrame, text_col: str = "text", **kw) -> RatioModel:
                 if values:
                     totals[1] += transitions(values)
                 runs = other_runs(text, spans)
+                runs = [r for r in (text[a:b] for a, b in runs) if not model or not model.is_secret(r)]
                 if runs:
-                    totals[0] += transitions([text[a:b] for a, b in runs])
-        label, pair = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(totals[label, pair])], ["label", "pair", "n"])
+                    totals[0] += transitions(runs)
+        yield _totals(totals)
 
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "label long, pair long, n long")
-    table = rows.groupBy("label", "pair").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.zeros((2, WIDTH * WIDTH), np.int64)
-    totals[table["label"].to_numpy(), table["pair"].to_numpy()] = table["n"].to_numpy()
-    return RatioModel.fit(totals[1], totals[0], **kw)
+    return count
 
 
 def find(text: str, model: RatioModel) -> tuple[list[Span], list[Span]]:
@@ -141,6 +173,7 @@ def find(text: str, model: RatioModel) -> tuple[list[Span], list[Span]]:
 
 def scan(docs: DataFrame, model: RatioModel | None = None, id_col: str = "doc_id", text_col: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
     """id, spans array<struct<kind,start,end,base>> and redacted text of every row; passed: columns to keep beside them."""
+    distinct_names((id_col, *passed), "spans", "redacted")
     model = model or train(docs, text_col)
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
     columns = [id_col, *passed]
@@ -156,7 +189,7 @@ def scan(docs: DataFrame, model: RatioModel | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, spans_type), pa.array(texts, pa.string())], [*columns, "spans", "redacted"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, f"{kept}, spans array<struct<kind:string,start:long,end:long,base:boolean>>, redacted string")
+    return map_texts(docs.select(*columns, F.col(text_col).alias("__text")), run, f"{kept}, spans array<struct<kind:string,start:long,end:long,base:boolean>>, redacted string")
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
