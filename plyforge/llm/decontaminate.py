@@ -25,6 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import ALNUM, grams, text_blocks, whole, word_hashes, words
+from .shared import distinct_names, map_texts
 
 
 def fingerprints(hashes: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +132,7 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     keep = [id_col, *passed]
+    distinct_names(tuple(keep), "n_words", "hits", "items")
     parts = item_parts(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null"), "item", "text", part_bytes)
     shared = []
     for part in parts:
@@ -159,7 +161,7 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n_words, pa.int64()), pa.array(hits, hits_type), pa.array(named, pa.list_(pa.string()))], [*keep, "n_words", "hits", "items"])
 
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes"))
-    return rows.mapInArrow(run, f"{kept}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+    return map_texts(rows, run, f"{kept}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
