@@ -17,6 +17,7 @@ No rows give no pieces. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,16 +27,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, map_texts
 
-MOST_CACHED = 1_000_000
+MOST_CACHED = 300_000
 
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes, with a bounded cache of words.
 
     The byte-level pre-tokenizer starts a token at a single space after a character that is no white space,
-    so such a text is the concatenation of its words' ids, each taken with its space. Other texts are encoded whole.
+    so such a text is the concatenation of its words' ids, each taken with its space. Other texts, and those that hold an
+    added token of the tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,13 +45,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens are found before words are split
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.spaced = any(" " in t for t in added)
         self.first: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _has_added(self, words: list[str]) -> bool:
+        return self.added is not None and any(map(self.added.search, words))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if len(self.rest) + len(self.first) > MOST_CACHED:
@@ -57,12 +65,15 @@ class Encoder:
             self.first = {"": b""}
         failed, missing, missing_first, odd = [], set(), set(), []
         for i, text in enumerate(texts):
+            if self.spaced and self.added.search(text):
+                odd.append(i)
+                continue
             head, *tail = text.split(" ")
             try:
                 out[i] = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
             except KeyError:
                 fresh = set(tail).difference(self.rest)
-                if any(not w or w[-1].isspace() for w in fresh) or (tail and head[-1:].isspace()):
+                if any(not w or w[-1].isspace() for w in fresh) or (tail and head[-1:].isspace()) or self._has_added([*fresh, head]):
                     odd.append(i)
                     continue
                 failed.append((i, head, tail))
@@ -201,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, bins: int = 2
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = scratch.save(texts.mapInArrow(pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, bin int, nth long, ids binary"), "pieces")
+    rows = scratch.save(map_texts(texts, pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part int, bin int, nth long, ids binary"), "pieces")
     per_task = rows.groupBy("part", "bin").agg(F.count("*").alias("n"))
     counts = np.zeros(bins + 1, np.int64)
     for r in per_task.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row for each bin
