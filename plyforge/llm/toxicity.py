@@ -9,12 +9,13 @@ example stands for, 1 on average, so that the prior weighs the same for every si
 Examples are laid out in blocks that share a label and their strongest term. For every term the inverted
 index has postings by block and each block's largest weight. A query adds up these maxima to bounds,
 scores blocks from the highest bound down and stops where no bound beats its k-th best score, so its k
-neighbours are exact. Their squared cosines vote; a prior of ``prior_weight`` votes at the base rate
+neighbours are exact; examples that tie with the k-th share the places left, so no order decides. Their squared cosines vote; a prior of ``prior_weight`` votes at the base rate
 makes the score a calibrated share, and is all there is for a text without any term of the vocabulary.
 
 Null and empty texts get the base rate. Texts are scored whole. Without labelled examples all scores are 0.
-Labels that are null are not learned; of repeated labels the larger counts; repeated rows each get a
-score. Other columns are not read.
+Labels that are null are not learned; of repeated labels the larger counts, of rows that repeat an id the smallest
+text; repeated rows each get a score, and an empty table gives none. Other columns are not read, but for those passed, whose
+names must differ from those of the result.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import ALNUM, text_blocks
-from .shared import Scratch
+from .shared import Scratch, distinct_names, map_texts
 
 GRAM = 5
 _LOWER = np.where(ALNUM, np.arange(256), 32).astype(np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
 _TABLE_BITS = 22
+TIE = 1e-12
 
 
 def gram_codes(data: np.ndarray) -> np.ndarray:
@@ -79,6 +81,7 @@ class BlockMaxIndex:
     terms: np.ndarray  # sorted codes
     idf: np.ndarray
     positive: np.ndarray  # label of each example
+    ids: np.ndarray  # id of each example, as text
     votes: np.ndarray  # labelled rows that each example stands for, over their mean
     base: float
     block: int = 64
@@ -90,7 +93,7 @@ class BlockMaxIndex:
         lead = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in rows], np.int64)
         order = np.lexsort((lead, self.positive))
         order = order[lead[order] >= 0]
-        self.positive, self.votes = self.positive[order], self.votes[order]
+        self.positive, self.votes, self.ids = self.positive[order], self.votes[order], self.ids[order]
         rows = [rows[i] for i in order]
         n, nt = len(rows), len(self.terms)
         self.n_blocks = -(-n // self.block) if n else 0
@@ -118,7 +121,7 @@ class BlockMaxIndex:
         return at[ok], term[ok]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, exactly (of equal ones the first)."""
+        """The k nearest examples and their cosines, exactly, with all that tie with the last."""
         if not self.n_blocks:
             return np.empty(0, np.int64), np.empty(0)
         bound = weights @ self.most[terms]
@@ -127,7 +130,7 @@ class BlockMaxIndex:
         best_docs, best = np.empty(0, np.int64), np.empty(0)
         at, step = 0, 2
         while at < len(order):
-            if len(best) >= self.k and bound[order[at]] < best[-1] - 1e-12:
+            if len(best) >= self.k and bound[order[at]] < best[self.k - 1] - TIE:
                 break
             some = order[at : at + step]
             cells = (terms[:, None] * self.n_blocks + some).ravel()
@@ -137,8 +140,11 @@ class BlockMaxIndex:
             docs, where = np.unique(self.docs[pick], return_inverse=True)
             got = np.bincount(where, np.repeat(np.repeat(weights, len(some)), sizes) * self.weights[pick], len(docs))
             best_docs, best = np.concatenate((best_docs, docs)), np.concatenate((best, got))
-            keep = np.lexsort((best_docs, -best))[: self.k]
+            keep = np.lexsort((best_docs, -best))
             best_docs, best = best_docs[keep], best[keep]
+            if len(best) > self.k:
+                keep = best >= best[self.k - 1] - TIE
+                best_docs, best = best_docs[keep], best[keep]
             at, step = at + step, step * 2
         return best_docs, best
 
@@ -150,6 +156,9 @@ class BlockMaxIndex:
         """The calibrated share of toxic votes, and the neighbours with their cosines as evidence."""
         docs, cosine = self.nearest(terms, self.unit(terms, counts)) if len(terms) else (np.empty(0, np.int64), np.empty(0))
         vote = cosine * cosine * self.votes[docs]
+        if len(docs) > self.k:  # those that tie with the last share the places that are left
+            tied = cosine <= cosine[self.k - 1] + TIE
+            vote[tied] *= (self.k - (~tied).sum()) / tied.sum()
         total = vote.sum() + self.prior_weight
         return float(min(1.0, max(0.0, (vote[self.positive[docs]].sum() + self.prior_weight * self.base) / total))), docs, cosine
 
@@ -205,10 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     n_of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(n_of.get(0, 0)), float(n_of.get(1, 0))
     base = n1 * stands.get(1, 0) / max(1e-9, n0 * stands.get(0, 0) + n1 * stands.get(1, 0))
-    none = BlockMaxIndex(np.empty(0, np.uint64), np.empty(0), np.empty(0, bool), np.empty(0), base, **kw).build([])
+    none = BlockMaxIndex(np.empty(0, np.uint64), np.empty(0), np.empty(0, bool), np.empty(0, object), np.empty(0), base, **kw).build([])
     if not n0 or not n1:
         return none
-    table = texts.mapInArrow(count, "term long, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("b"))
+    table = map_texts(texts, count, "term long, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("b"))
     # how far the label rates with and without the term lie apart, as a chi-square
     miss = (F.lit(n0) - F.col("a")) * F.col("b") - F.col("a") * (F.lit(n1) - F.col("b"))
     df = F.col("a") + F.col("b")
@@ -226,9 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
             out = [(t.tolist(), n.tolist()) for _, _, data, offsets in text_blocks(batch, "text") for t, n in row_terms(shared.value, data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.list_(pa.int64())), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["id", "y", "terms", "n"])
 
-    texts = rows.select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), F.col("text").cast("binary").alias("text"))
-    examples = sorted(texts.mapInArrow(vectors, "id long, y int, terms array<long>, n array<long>").toArrow().to_pylist(), key=lambda r: r["id"])  # 2 * per_class rows at most
-    index.positive = np.array([r["y"] == 1 for r in examples])
+    texts = rows.select(F.col("id").cast("string").alias("id"), F.col("y").cast("int").alias("y"), F.col("text").cast("binary").alias("text"))
+    examples = sorted(map_texts(texts, vectors, "id string, y int, terms array<long>, n array<long>").toArrow().to_pylist(), key=lambda r: r["id"])  # 2 * per_class rows at most
+    index.positive, index.ids = np.array([r["y"] == 1 for r in examples]), np.array([r["id"] for r in examples], object)
     mean = (n0 * stands[0] + n1 * stands[1]) / (n0 + n1)
     index.votes = np.array([stands[r["y"]] / mean for r in examples])
     built = []
@@ -239,7 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",), evidence: int = 3) -> DataFrame:
-    """The passed columns, score, and the cosines of the nearest examples that were toxic (evidence)."""
+    """The passed columns, score, and as evidence the nearest examples: array<struct<id,toxic,cosine>>, nearest first."""
+    distinct_names(passed, "score", "evidence")
+    kind = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.bool_()), ("cosine", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
 
@@ -251,7 +262,8 @@ def score(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text", passed:
                 for terms, n in row_terms(model, data, offsets):
                     s, near, cosine = model.score(terms, n)
                     scores.append(s)
-                    shown.append(cosine[model.positive[near]][:evidence].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(shown, pa.list_(pa.float64()))], [*passed, "score", "evidence"])
+                    shown.append([{"id": model.ids[d], "toxic": bool(model.positive[d]), "cosine": float(c)} for d, c in zip(near[:evidence], cosine, strict=False)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(shown, kind)], [*passed, "score", "evidence"])
 
-    return docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes")).mapInArrow(run, f"{kept}, score double, evidence array<double>")
+    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes"))
+    return map_texts(rows, run, f"{kept}, score double, evidence array<struct<id:string,toxic:boolean,cosine:double>>")
