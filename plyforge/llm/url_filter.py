@@ -3,21 +3,27 @@
 Pages that a rule decides are the labelled outcomes (1: blocked). Each level's block rate has a beta
 prior around the mean of the level above (all -> suffix -> registered domain -> host). Its strength is
 estimated from the spread of the level's groups by moments. A page that no rule fits is blocked where
-the lower posterior bound of its host's block rate is above the limit; a host without outcomes has the wide posterior of the levels above it.
+the lower posterior bound of its host's block rate (mean less z standard deviations of the beta posterior) is above the
+limit; a host without outcomes has the wide posterior of the levels above it.
 
-Everything is DataFrame operations; counts are combined before the shuffle, and what comes back to the
-pages is joined by host. Null URLs, and those without ``://``, have an empty host and path and no rule.
-Repeated rows each get a verdict; other columns are not read. A suffix is the last label of the host and
-a registered domain the last two (``suffixes`` names longer public suffixes).
+Everything is DataFrame operations. Counts are combined before the shuffle into one row for each host, written
+once; the levels above are made from these. What comes back to the pages is joined by host, and sent to all
+executors only where there are at most MOST_BROADCAST hosts; else a host with very many pages is split by the adaptive
+join. Up to MOST_RULES rules are part of the plan; more are joined by the host's suffixes.
+
+Null URLs, and those without ``://``, have an empty host and path and no rule. Of rules that tie in length
+the last by host, path and verdict wins. Repeated rows each get a verdict; an empty table gives none; other columns are not read. A suffix is the last
+label of the host and a registered domain the last two (``suffixes`` names longer public suffixes).
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rules are part of the plan, so their number is bounded.
+from .shared import Scratch
+
 MOST_RULES = 500
+MOST_BROADCAST = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,8 +38,6 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def match(rules: list[tuple[str, str, str]], host: Column, path: Column) -> Column:
     """struct<rule,verdict> of the longest (host, path, verdict) rule that fits, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit a plan")
     out: Column = F.lit(None).cast("struct<rule:string,verdict:string>")
     for name, prefix, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r)):
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(prefix)
@@ -63,30 +67,42 @@ def strength(groups: DataFrame, least: float = 2.0, most: float = 200.0) -> Data
     return m.select(F.coalesce(F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(least)), F.lit(most)), F.lit(most)).alias("weight"))
 
 
+def matched_by_join(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds ``fit`` as ``match`` gives it: each host gets the rules of its suffixes, of which the longest whose path fits is taken."""
+    table = rows.sparkSession.createDataFrame(rules, "name string, prefix string, verdict string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    entry = F.struct((F.length("name") + F.length("prefix")).alias("size"), "name", "prefix", "verdict")
+    of_host = rows.select("host").distinct().select("host", F.explode(suffixes).alias("name")).join(table, "name").groupBy("host").agg(F.collect_list(entry).alias("__rules"))
+    best = F.array_max(F.filter("__rules", lambda r: F.col("path").startswith(r["prefix"])))
+    fit = F.when(best.isNotNull(), F.struct(F.concat(best["name"], best["prefix"]).alias("rule"), best["verdict"].alias("verdict")))
+    return rows.join(of_host, "host", "left").withColumn("fit", fit).drop("__rules")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", limit: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """id, host, path, rule, verdict, block_rate and block_bound (posterior mean and lower bound for the host)."""
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rows = rows.select("*", match(rules, F.col("host"), F.col("path")).alias("fit"))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = rows.select("*", match(rules, F.col("host"), F.col("path")).alias("fit")) if len(rules) <= MOST_RULES else matched_by_join(rows, rules)
     domain, suffix = level_keys(F.col("host"), suffixes)
     # one row for each host; the rest of the work is on these
     hosts = rows.groupBy("host").agg(F.count("fit").alias("n"), F.count_if(F.col("fit.verdict") == "block").alias("bad"))
-    hosts = hosts.select("*", domain.alias("domain"), suffix.alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = tops.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
-
-    def shrunk(level: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
-        one = strength(level)  # a single row
-        above = above.select(*on, F.col("mean").alias("up"))
-        level = level.join(above, on) if on else level.join(F.broadcast(above))
-        return level.join(F.broadcast(one)).withColumn("mean", (F.col("bad") + F.col("weight") * F.col("up")) / (F.col("n") + F.col("weight")))
-
-    tops = shrunk(tops, total, []).select("suffix", "mean")
-    domains = shrunk(domains, tops, ["suffix"]).select("domain", "mean")
-    hosts = shrunk(hosts, domains, ["domain"])
+    hosts = scratch.save(hosts.select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    domains = scratch.save(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    tops = scratch.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    total = tops.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean")).first()["mean"]
+
+    def shrunk(level: DataFrame, up: Column) -> DataFrame:
+        weight = F.lit(float(strength(level).first()["weight"]))  # a single row
+        return level.withColumns({"mean": (F.col("bad") + weight * up) / (F.col("n") + weight), "weight": weight})
+
+    tops = shrunk(tops, F.lit(float(total))).select("suffix", F.col("mean").alias("up"))
+    domains = shrunk(domains.join(tops, "suffix"), F.col("up")).select("domain", F.col("mean").alias("up"))
+    hosts = shrunk(hosts.join(domains, "domain"), F.col("up"))
     size = F.col("n") + F.col("weight")
     hosts = hosts.select("host", F.col("mean").alias("block_rate"), (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))).alias("block_bound"))
-    judged = rows.join(hosts, "host", "left")
+    hosts = scratch.save(hosts, "judged")
+    judged = rows.join(F.broadcast(hosts) if hosts.count() <= MOST_BROADCAST else hosts, "host", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("block_bound") > limit, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "block_rate", "block_bound")
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "block_rate", "block_bound")
