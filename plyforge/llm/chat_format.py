@@ -8,8 +8,10 @@ The loss mask is the body of each assistant turn.
 
 Turns are rendered row by row. Conversations are put together by a sort on (conversation, turn) and
 read as a stream, with a few counters and running digests as state, so a conversation of any length
-fits in memory. A null text or role is empty; rows that tie on the turn are ordered by role, then text;
-repeated rows are turns of their own; null conversation ids are one conversation; other columns are not read.
+fits in memory; as digests are sequential, a conversation is one task's work. A null text, part or role is empty and
+a part of unknown type an error; rows that tie on the turn are ordered by their formatted text; repeated rows are turns of
+their own; conversation ids may be of any type that sorts, null ones are one conversation; no rows give no result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .shared import map_texts
 
 _SPECIAL = re.compile(r'[\\<"]')
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -81,7 +86,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             for role, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 visitor = PartVisitor()
                 for part in content or [] if parts_col else [{"type": "text", "text": content}]:
-                    visitor.visit(part)
+                    if part is not None:
+                        visitor.visit(part)
                 head, body = f'<turn role="{escape(role or "")}">', "".join(visitor.out)
                 formatted.append(f"{head}{body}</turn>\n")
                 starts.append(len(head))
@@ -93,8 +99,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 ["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"],
             )
 
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(parts_col or text_col).alias("content"))
-    return rows.mapInArrow(run, "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<kind:string,ref:string,ordinal:long,tokens:long>>, expanded_tokens long")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(parts_col or text_col).alias("content"))
+    return map_texts(rows, run, f"conv_id {turns.schema[conv_col].dataType.simpleString()}, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<kind:string,ref:string,ordinal:long,tokens:long>>, expanded_tokens long")
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -127,7 +133,8 @@ class _Conversation:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What each conversation's formatted text says: turns, their digest, and what is under the loss mask."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kind = formatted.schema["conv_id"].dataType
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -144,11 +151,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _batch([_row(key, state)])
 
-    def _row(key: int | None, s: _Conversation) -> tuple:
+    def _row(key: object, s: _Conversation) -> tuple:
         return key, s.n, s.turns.hexdigest(), s.loss_chars, s.loss.hexdigest(), s.chars
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
