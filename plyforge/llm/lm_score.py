@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import SPACED, U64, planes, text_blocks, unplanes, word_hashes, words
 from .elias_fano import EliasFano, Packed
-from .shared import Scratch, distinct_names, shuffle_partitions
+from .shared import Scratch, distinct_names, map_texts, shuffle_partitions
 
 END = 0x5EEDE2D0000000E1
 RUN = 1 << 21
@@ -257,7 +257,7 @@ def _vocabulary(texts: DataFrame, folder: str, parts: int) -> list[Shard]:
         marks = [int(mass[len(n) * i // 64]) for i in range(65)]
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(keys)]), pa.array([str(int(keys[0]))]), pa.array([marks]), pa.array([[str(span), str(listed.bits), str(width)]])], ["path", "layout", "n", "first", "mass", "numbers"])
 
-    table = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    table = map_texts(texts, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # ranges of even width: hashes are uniform, and no sample of a large table is needed
     width = -(-(1 << 64) // parts)
     shard = F.floor((F.col("h").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
@@ -388,7 +388,7 @@ def _level(texts: DataFrame, trie: Trie, parts: int, least_count: int, discount:
         numbers = [str(x) for x in (width, pointers.bits, values.bits)]
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([layout]), pa.array([len(kept)]), pa.array([str(first + int(lows[part]))]), pa.array([marks]), pa.array([numbers])], ["path", "layout", "n", "first", "mass", "numbers"])
 
-    blocks = texts.mapInArrow(count, "part int, steps binary, n binary")
+    blocks = map_texts(texts, count, "part int, steps binary, n binary")
     return _described(blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(write, _SHARD).collect())
 
 
@@ -434,4 +434,5 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", passed: tuple[str
             columns = [np.concatenate(x) if x else np.empty(0) for x in (tokens, known, base, model)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(np.full(n, trie.tokens, np.int64)), pa.array(columns[2].astype(np.float64)), pa.array(columns[3].astype(np.float64))], [*passed, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes")).mapInArrow(run, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select(*passed, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__bytes"))
+    return map_texts(rows, run, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
