@@ -99,7 +99,7 @@ class Block:
             yield self.ids[best], distance[best]
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, m: int = 96, width: float = 2.7, share: float = 0.76, growth: float = 1.06, block_rows: int = 16384, chunk: int = 16384, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, m: int = 96, width: float = 2.55, share: float = 0.75, growth: float = 1.06, block_rows: int = 16384, chunk: int = 16384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found; is_query: a condition on the id column, named ``id``."""
     rows, d = usable(vectors, id_col, vector_col)
     if not d:
