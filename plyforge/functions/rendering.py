@@ -7,14 +7,20 @@ from pyspark.sql import Column, functions as F
 from .scalars import fixed_fen, value_bucket, value_token
 
 
-def prompt(fen: Column, top_n: Column) -> Column:
-    return F.concat(F.lit("<|chess|> %prev_FEN %top_"), top_n.cast("string"), F.lit(" %best_action %FEN\n[%prev_FEN "), fixed_fen(fen), F.lit("]"))
+# The marks and labels of the texts below, which other tools read.
 
 
-def answer(moves: Column, top_n: Column, next_fen: Column, seed: int | None = None) -> Column:
-    """moves: ranked array<struct<move,win_prob>>. The listed moves are shuffled where a seed is given."""
+def prompt(fen: Column, top_n: Column, with_next: bool = True) -> Column:
+    """What is asked for; the position after the move only with_next."""
+    asked = " %best_action %FEN" if with_next else " %best_action"
+    return F.concat(F.lit("<|chess|> %prev_FEN %top_"), top_n.cast("string"), F.lit(f"{asked}\n[%prev_FEN "), fixed_fen(fen), F.lit("]"))
+
+
+def answer(moves: Column, top_n: Column, next_fen: Column, seed: int | None = None, listed: Column | None = None) -> Column:
+    """moves: ranked array<struct<move,win_prob>>. The listed moves are shuffled where a seed is given, or given as they are to stand."""
     first = F.slice(moves, 1, top_n)
-    listed = first if seed is None else F.shuffle(first, seed)
+    if listed is None:
+        listed = first if seed is None else F.shuffle(first, seed)
     pairs = F.array_join(F.transform(listed, lambda m: F.concat(m["move"], F.lit(":"), value_token(value_bucket(m["win_prob"])))), " ")
     head = F.concat(F.lit("\n[%top_"), top_n.cast("string"), F.lit(" "), pairs, F.lit("]\n[%best_action "), F.get(moves, F.lit(0))["move"], F.lit("]"))
     return F.concat(head, F.when(F.length(next_fen) > 0, F.concat(F.lit("\n[%FEN "), fixed_fen(next_fen), F.lit("]"))).otherwise(""))

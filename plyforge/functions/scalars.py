@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:
@@ -36,6 +38,21 @@ def fixed_fen(fen: Column) -> Column:
     return F.concat_ws(" ", board, part[1], castling, passing, _left_filled(part[4], 2), _left_filled(part[5], 3))
 
 
+def rounded(p: Column, digits: int) -> Column:
+    """Rounded on the exact binary value (half to even only at true ties), which Spark's round, on decimal text, isn't. NaN gives null."""
+
+    @pandas_udf("double")
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, digits) if v - v == 0 else v, na_action="ignore")
+
+    return exact(p)
+
+
+def shown(text: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(text, 1, n)
+
+
 def null_if_empty(items: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 

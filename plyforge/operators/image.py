@@ -36,6 +36,32 @@ def spread_times(pixels: DataFrame, offsets: list[tuple[int, int]], value: str,
     return pixels
 
 
+def inverted(mask: Column) -> Column:
+    """NOT of an 8-bit mask."""
+    return F.lit(255) - mask
+
+
+def both(left: Column, right: Column) -> Column:
+    """AND of two 8-bit masks."""
+    return left.bitwiseAND(right)
+
+
+def spread_box(pixels: DataFrame, height: int, width: int, value: str, largest: bool) -> DataFrame:
+    """``spread`` over a full kernel: along rows and then along columns, so a pixel is sent height + width times. Needs a full grid or pixels whose neighbours in a row are there."""
+    return spread(spread(pixels, box(1, width), value, largest), box(height, 1), value, largest)
+
+
+def pixels_of(images: DataFrame) -> DataFrame:
+    """path, y, x and v (grey, or blue, green and red as array) of rows of Spark's image source."""
+    i = F.col("image")
+    n = i["nChannels"]
+    whole = images.select(i["origin"].alias("path"), i["width"].alias("w"), n.alias("n"), F.hex(i["data"]).alias("h"), F.explode(F.sequence(F.lit(0), i["height"] - 1)).alias("y"))
+    # a row of pixels at a time; two hex digits a byte
+    lines = whole.select("path", "y", "n", F.expr("substring(h, cast(y * w * n * 2 + 1 as int), cast(w * n * 2 as int))").alias("line"), F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    byte = lambda c: F.conv(F.expr(f"substring(line, cast((x * n + {c}) * 2 + 1 as int), 2)"), 16, 10).cast("int")
+    return lines.select("path", "y", "x", F.when(F.col("n") == 1, F.array(byte(0))).otherwise(F.array(byte(0), byte(1), byte(2))).alias("v"))
+
+
 def marked(mask: Column, pixel: Column, colour: tuple[int, int, int] = (0, 255, 0)) -> Column:
     """The pixel, or the colour where the mask is 255."""
     return F.when(mask == 255, F.array(*map(F.lit, colour))).otherwise(pixel)

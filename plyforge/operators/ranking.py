@@ -19,10 +19,11 @@ def ranked(rows: DataFrame, key: str, item: str, score: str, at_most: int | None
 
 def summary(rows: DataFrame, key: str, item: str, score: str, k: int = 5) -> DataFrame:
     """key, n_items, best and top (array of item and score), of which only k items a key are ever collected."""
+    # duplicates go before the shuffle by key, which then serves ranks, counts and lists
     best = best_per_item(rows, key, item, score)
-    counts = best.groupBy(key).agg(F.count("*").alias("n_items"))
-    top = ranked(best, key, item, score, k).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", item, score))).alias("top"))
-    return counts.join(top, key).select(key, "n_items", F.get("top", F.lit(0))[item].alias("best"), "top")
+    placed = best.withColumns({"rank": F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), item)), "n_items": F.count("*").over(W.partitionBy(key))})
+    listed = placed.where(F.col("rank") <= k).groupBy(key).agg(F.first("n_items").alias("n_items"), F.sort_array(F.collect_list(F.struct("rank", item, score))).alias("top"))
+    return listed.select(key, "n_items", F.get("top", F.lit(0))[item].alias("best"), "top")
 
 
 def rank_of(top: Column, item: Column, field: str) -> Column:

@@ -6,7 +6,7 @@ steps, by a hash prefix and within it, so no single task sorts the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def shuffled_rank(rows: DataFrame, id_col: str, seed: int = 0, prefix: int = 2) -> DataFrame:
@@ -19,6 +19,17 @@ def shuffled_rank(rows: DataFrame, id_col: str, seed: int = 0, prefix: int = 2)
     return inner.join(F.broadcast(before), "__p").withColumn("place", (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__d", "__p", "__r", "__b")
 
 
+def ranked_in_group(rows: DataFrame, group: str, id_col: str, digest: Column, prefix: int = 2) -> DataFrame:
+    """Adds ``place``, the row's 0-based place in its group by digest, counted by a digest's prefix and within it, so that a large group is no single task's."""
+    keyed = rows.withColumn("__d", digest).withColumn("__p", F.substring("__d", 1, prefix))
+    counts = keyed.groupBy(group, "__p").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    inner = keyed.withColumn("__r", F.row_number().over(W.partitionBy(group, "__p").orderBy("__d", id_col)))
+    out = inner.join(bases, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return out.withColumn("place", (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__d", "__p", "__r", "__b", "__g", "__q")
+
+
 def exact_split(rows: DataFrame, id_col: str, share: float, seed: int = 0) -> DataFrame:
     """Adds ``is_eval``, true for exactly int(rows * share) rows."""
     n = int(rows.count() * share)
@@ -33,8 +44,7 @@ def balanced_choice(rows: DataFrame, id_col: str, choices: list[int], seed: int
 
 def batches(rows: DataFrame, group: str, id_col: str, size: int, drop_last: bool = False) -> DataFrame:
     """Adds ``batch`` and ``place`` within each group."""
-    order = W.partitionBy(group).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col)
-    out = rows.withColumn("__r", F.row_number().over(order) - 1)
+    out = ranked_in_group(rows, group, id_col, F.md5(F.col(id_col).cast("string").cast("binary"))).withColumnRenamed("place", "__r")
     out = out.withColumn("batch", F.floor(F.col("__r") / size)).withColumn("place", F.col("__r") % size).drop("__r")
     return out.withColumn("__n", F.count("*").over(W.partitionBy(group, "batch"))).where(F.col("__n") == size).drop("__n") if drop_last else out
 
@@ -56,8 +66,11 @@ def file_index(rows: DataFrame, file_col: str) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, file_col: str, order: str, n: int) -> DataFrame:
-    """The first n rows of all, by file and then by order within it; no task sorts more than a file."""
-    return located(rows, file_col, order).where(F.col("place") < n).drop("place", "local")
+    """The first n rows of all, by file and then by order within it; files that begin beyond n are not sorted, and of the others only what can be among the n."""
+    needed = file_index(rows, file_col).where(F.col("start_row") < n).select(F.col(file_col).alias("__f"), (n - F.col("start_row")).alias("__most"))
+    some = rows.join(needed, F.col(file_col).eqNullSafe(F.col("__f")))
+    ranked = some.withColumn("__r", F.row_number().over(W.partitionBy(file_col).orderBy(order))).where(F.col("__r") <= n)
+    return ranked.where(F.col("__r") <= F.col("__most")).drop("__r", "__f", "__most")
 
 
 def located(rows: DataFrame, file_col: str, order: str) -> DataFrame:

@@ -20,6 +20,17 @@ def completeness(data: DataFrame, expected: DataFrame, key: str, item: str) -> D
     return out.withColumn("is_complete", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
 
 
+def bucket_statistics(groups: DataFrame, bucket: str, file: str, items: str, flags: list[str]) -> DataFrame:
+    """For each bucket: files, keys, items, and how many keys have each flag. groups: a row for each key, flags as columns."""
+    return groups.groupBy(bucket).agg(F.countDistinct(file).alias("files"), F.count("*").alias("n_keys"), F.sum(items).alias("n_items"), *(F.count_if(F.col(f)).alias(f"n_{f}") for f in flags))
+
+
+def bucket_totals(buckets: DataFrame, flags: list[str]) -> DataFrame:
+    """One row over bucket_statistics: buckets that hold keys, sums, and percentages of the keys."""
+    one = buckets.agg(F.count_if(F.col("n_keys") > 0).alias("buckets"), F.sum("files").alias("files"), F.sum("n_keys").alias("n_keys"), F.sum("n_items").alias("n_items"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in flags))
+    return one.select("*", *(percent(F.col(f"n_{f}"), F.col("n_keys")).alias(f"percent_{f}") for f in flags))
+
+
 def totals(groups: DataFrame, flags: list[str]) -> DataFrame:
     """One row: groups, and for each flag how many have it and which percentage."""
     one = groups.agg(F.count("*").alias("groups"), *(F.count_if(f).alias(f"n_{f}") for f in flags))

@@ -8,27 +8,29 @@ from plyforge.operators import metrics, sequences
 from plyforge.sources import files
 from plyforge.streaming.files import drain, file_stream
 
-FEN = "4r1k1/6pp/2p2p2/8/8/BP4Q1/4r1PP/2KR4 w - - 0 30"
+FEN = "2r3k1/5pp1/7p/3N4/8/1P4P1/5P1P/3R2K1 b - - 4 27"
+SQUARES = "..r...k......pp........p...N.............P....P......P.P...R..K."
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("c")).first()["c"]
 
 
-@pytest.mark.parametrize(("fen", "want"), [(FEN, "....r.k.......pp..p..p..................BP....Q.....r.PP..KR.... w .... -. .0 .30"), ("8/8/8/8/8/8/8/8 w KQkq e3 0 1", "." * 64 + " w KQkq e3 .0 ..1"), ("8/8/8/8/8/8/8/8 w KQkq e3 100 1000", "." * 64 + " w KQkq e3 100 1000")])
+@pytest.mark.parametrize(("fen", "want"), [(FEN, SQUARES + " b .... -. .4 .27"), (" 8/8/8/8/8/8/8/8  w Kq d6 7 12", "." * 64 + " w Kq.. d6 .7 .12"), ("8/8/8/8/8/8/8/8 b k c3 123 4567", "." * 64 + " b k... c3 123 4567")])
 def test_fixed_fen(spark, fen, want):
     assert one(spark, scalars.fixed_fen(F.lit(fen))) == want
 
 
-@pytest.mark.parametrize(("p", "want"), [(0.0, 0), (0.25, 16), (0.5, 32), (0.75, 47), (1.0, 63), (0.9027, 57), (-1.0, 0), (2.0, 63), (float("nan"), 63), (float("inf"), 63), (None, None)])
+@pytest.mark.parametrize(("p", "want"), [(0.0, 0), (0.1, 6), (0.333, 21), (0.61, 38), (0.9, 57), (1.0, 63), (-3.0, 0), (7.5, 63), (float("nan"), 63), (float("inf"), 63), (None, None)])
 def test_value_bucket(spark, p, want):
     assert one(spark, scalars.value_bucket(F.lit(p).cast("double"))) == want
 
 
 def test_answer_and_prompt(spark):
-    moves = F.array(F.struct(F.lit("g3g4").alias("move"), F.lit(0.9027).alias("win_prob")))
-    assert one(spark, rendering.answer(moves, F.lit(3), F.lit(None).cast("string"))) == "\n[%top_3 g3g4:<val_57>]\n[%best_action g3g4]"
-    assert one(spark, rendering.prompt(F.lit(FEN), F.lit(3))).startswith("<|chess|> %prev_FEN %top_3 %best_action %FEN\n[%prev_FEN ....r.k.")
+    moves = F.array(F.struct(F.lit("d1d4").alias("move"), F.lit(0.61).alias("win_prob")))
+    assert one(spark, rendering.answer(moves, F.lit(3), F.lit(None).cast("string"))) == "\n[%top_3 d1d4:<val_38>]\n[%best_action d1d4]"
+    assert one(spark, rendering.prompt(F.lit(FEN), F.lit(3))).startswith("<|chess|> %prev_FEN %top_3 %best_action %FEN\n[%prev_FEN ..r...k.")
+    assert one(spark, rendering.prompt(F.lit(FEN), F.lit(3), False)).startswith("<|chess|> %prev_FEN %top_3 %best_action\n[%prev_FEN ")
 
 
 def test_sequences(spark):
@@ -47,7 +49,7 @@ def test_losses_without_tokens_and_with(spark):
 
 
 def test_json_items_and_buckets(spark, tmp_path):
-    item = {"fen": FEN, "moves": [["g3g4", 0.9]], "best_action": "g3d6", "next_fen": None}
+    item = {"fen": FEN, "moves": [["d1d4", 0.9]], "best_action": "g1g2", "next_fen": None}
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text(json.dumps(item) + "\n\nnot json\n" + json.dumps({"fen": "x"}) + "\n")
     (tmp_path / "in/b.json").write_text(json.dumps([item, item], indent=1))
