@@ -89,20 +89,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     # one row for each host; the rest of the work is on these
     hosts = rows.groupBy("host").agg(F.count("fit").alias("n"), F.count_if(F.col("fit.verdict") == "block").alias("bad"))
     hosts = scratch.save(hosts.select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
-    domains = scratch.save(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
-    tops = scratch.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
-    total = tops.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean")).first()["mean"]
-
-    def shrunk(level: DataFrame, up: Column) -> DataFrame:
-        weight = F.lit(float(strength(level).first()["weight"]))  # a single row
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # one job for the few numbers that describe the levels
+    rate = (F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)
+    facts = hosts.agg(rate.cast("double").alias("x"), F.count("*").alias("rows")).withColumn("level", F.lit("all"))
+    for name, level in (("top", tops), ("domain", domains), ("host", hosts)):
+        facts = facts.unionByName(strength(level).select(F.col("weight").alias("x"), F.lit(0).cast("long").alias("rows"), F.lit(name).alias("level")))
+    known = {r["level"]: r for r in facts.collect()}
+
+    def shrunk(level: DataFrame, name: str, up: Column) -> DataFrame:
+        weight = F.lit(known[name]["x"])
         return level.withColumns({"mean": (F.col("bad") + weight * up) / (F.col("n") + weight), "weight": weight})
 
-    tops = shrunk(tops, F.lit(float(total))).select("suffix", F.col("mean").alias("up"))
-    domains = shrunk(domains.join(tops, "suffix"), F.col("up")).select("domain", F.col("mean").alias("up"))
-    hosts = shrunk(hosts.join(domains, "domain"), F.col("up"))
+    tops = shrunk(tops, "top", F.lit(known["all"]["x"])).select("suffix", F.col("mean").alias("up"))
+    domains = shrunk(domains.join(tops, "suffix"), "domain", F.col("up")).select("domain", F.col("mean").alias("up"))
+    few = known["all"]["rows"] <= MOST_BROADCAST
+    # there are at most as many domains as hosts
+    hosts = shrunk(hosts.join(F.broadcast(domains) if few else domains, "domain"), "host", F.col("up"))
     size = F.col("n") + F.col("weight")
     hosts = hosts.select("host", F.col("mean").alias("block_rate"), (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1))).alias("block_bound"))
-    hosts = scratch.save(hosts, "judged")
-    judged = rows.join(F.broadcast(hosts) if hosts.count() <= MOST_BROADCAST else hosts, "host", "left")
+    judged = rows.join(F.broadcast(hosts) if few else hosts, "host", "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("block_bound") > limit, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "block_rate", "block_bound")
