@@ -215,10 +215,23 @@ def test_passages_of_items_without_an_id(spark):
     long = prose(rng, 30)
     items = spark.createDataFrame([(None, long), (None, "zq zw zx"), ("named", long), (None, None)], "item_id string, text string")
     docs = docs_of(spark, [f"before {long} after", "the zq zw zx there", "clean"])
-    got = {r["doc_id"]: r for r in decontaminate.find_passages(docs, items).collect()}
-    assert [(h["start"], h["end"]) for h in got[0]["hits"]] == [(1, 31)] and got[0]["items"] == ["named"]
-    assert [(h["start"], h["end"]) for h in got[1]["hits"]] == [(1, 4)] and got[1]["items"] == []
-    assert got[2]["hits"] == []
+    for part_bytes in (1 << 20, 10):
+        got = {r["doc_id"]: r for r in decontaminate.find_passages(docs, items, part_bytes=part_bytes).collect()}
+        assert [(h["start"], h["end"]) for h in got[0]["hits"]] == [(1, 31)] and got[0]["items"] == ["named"]
+        assert [(h["start"], h["end"]) for h in got[1]["hits"]] == [(1, 4)] and got[1]["items"] == []
+        assert got[2]["hits"] == [] and got[2]["items"] == []
+
+
+def test_joined_benchmark_equals_the_searched_one(spark, odd, empty):
+    items = spark.createDataFrame([(0, "same words again and again here"), (1, "one"), (2, prose(random.Random(1), 200)), (2, ""), (3, None)], "item_id int, text string")
+    passed = ("text", "source", "size")
+    rows = lambda docs, most: sorted(map(repr, decontaminate.find_passages(docs, items, part_bytes=most, passed=passed).collect()))
+    assert rows(odd, 0) == rows(odd, 1 << 20) and len(rows(odd, 0)) == odd.count()
+    assert rows(empty, 0) == []
+    clashing = odd.select("doc_id", "text", F.lit(1).alias("d"), F.lit("s").alias("salt"), F.lit("c").alias("c0"))
+    got = decontaminate.find_passages(clashing, items, part_bytes=0, passed=("d", "salt", "c0"))
+    assert got.columns == ["doc_id", "d", "salt", "c0", "n_words", "hits", "items"]
+    assert got.where("size(hits) > 0").count() == 4 and got.where("d = 1 and salt = 's' and c0 = 'c'").count() == odd.count()
 
 
 def test_rest_of_a_run_around_a_pattern_is_scored():
