@@ -82,6 +82,7 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, frequent):
 
         monkeypatch.setattr(ngram_join, "frequent_shingles", found)
         monkeypatch.setattr(ngram_join, "BIG_HUB", 2)
+        monkeypatch.setattr(ngram_join, "LEAST_COPIES", 2)  # classes of two rows and more are large
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs_of(spark, texts)).collect()}
     assert got == components(texts)
 
