@@ -16,9 +16,16 @@ def parse_range(text: str) -> tuple[int, int]:
 
 
 def listed_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path and 0-based number of each file of a folder, in name order; the bytes are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder).select("path")
-    paths = sorted(r["path"] for r in files.collect())  # a row for each file
+    """path and 0-based number of each file of a folder, in name order; the bytes are not read.
+
+    A folder in it whose name matches is one entry, as Spark writes a table as a folder of parts. As in Spark's
+    own listing, names that begin with a dot or an underscore and empty files don't count.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    name = hadoop.Path(folder)
+    system = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listStatus(name, hadoop.GlobFilter(pattern))
+    paths = sorted(str(x.getPath()) for x in found if x.getPath().getName()[0] not in "._" and (x.isDirectory() or x.getLen()))
     if not paths:
         raise FileNotFoundError(f"no file in {folder} matches {pattern}")
     return spark.createDataFrame(list(enumerate(paths)), "number int, path string")

@@ -25,6 +25,18 @@ def test_listing_slices_and_vocabulary(spark, tmp_path):
     assert [tuple(r) for r in files.vocabulary(spark, str(tmp_path / "a.txt")).collect()] == [(0, "e2e4"), (1, "d2d4")]
 
 
+def test_a_table_of_several_files_is_one_entry(spark, tmp_path):
+    spark.range(4).repartition(3).write.parquet(str(tmp_path / "b.parquet"))
+    for name in ("a", "c"):
+        spark.range(4).coalesce(1).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    for name in ("_d.parquet", ".e.parquet", "f.parquet"):
+        (tmp_path / name).write_bytes(b"" if name[0] == "f" else b"x")  # hidden or empty
+    listed = files.listed_files(spark, str(tmp_path), "*.parquet").collect()
+    assert [(r["number"], r["path"].rpartition("/")[2]) for r in listed] == [(0, "a.parquet"), (1, "b.parquet"), (2, "c.parquet")]
+    assert [spark.read.parquet(r["path"]).count() for r in listed] == [4, 4, 4]
+    assert [r["path"].rpartition("/")[2] for r in files.shard_slice(spark, str(tmp_path), "1-9", "*.parquet").collect()] == ["b.parquet", "c.parquet"]
+
+
 def test_first_characters_of_files(spark, tmp_path):
     for name, data in (("a", b"\xef\xbb\xbf \n [1]"), ("b", b"{}"), ("c", b"")):
         (tmp_path / name).write_bytes(data)
