@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,49 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, frequent):
     assert got == components(texts)
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    key, docs = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", docs_of(spark, near_corpus())
+    before, was = shuffle_files(spark), spark.conf.get(key, None)
+    counts = shared.Scratch(spark, "counts").save(docs.groupBy("text").count(), "counts")
+    values, _ = ngram_join.frequent_shingles(docs, 5, 0)
+    # ended by another thread, soon after the step
+    left = next((x for _ in range(100) if not (x := shuffle_files(spark) - before) or time.sleep(0.1)), shuffle_files(spark) - before)
+    assert not left and counts.count() and spark.conf.get(key, None) == was
+    with pytest.raises(Exception, match="RAISE"):
+        shared.Scratch(spark, "failed").save(docs.select(F.raise_error(F.lit("RAISE")).cast("string").alias("x")), "x")
+    assert spark.conf.get(key, None) == was
+
+
+def test_ngram_join_with_many_shared_classes(spark, monkeypatch):
+    texts = near_corpus()
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.when(F.col("doc_id") > 5, None)))
+    found = []
+    for most in (1 << 20, 0):  # texts by a broadcast, and by a shuffle
+        monkeypatch.setattr(ngram_join, "MOST_BROADCAST", most)
+        found.append(sorted(map(str, ngram_join.join(docs).collect())))
+    assert found[0] == found[1] and len(found[0]) == 3 * len(texts)
+
+
+def test_wanted_texts_are_shuffled_once(spark):
+    rows = [(5, "a b"), (5, "a b"), (5, "c"), (None, "a b"), (None, "a b"), (0, "a b"), (1, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    wanted = docs.where("text is not null").distinct().select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("cls"), "id", F.xxhash64("text").alias("th"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_shuffle = ngram_join.texts_of(docs, wanted.localCheckpoint(), False)
+        assert by_shuffle._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 2
+        got = sorted(bytes(r["text"]) for r in by_shuffle.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [b"a b", b"a b", b"a b", b"c"] == sorted(bytes(r["text"]) for r in ngram_join.texts_of(docs, wanted, True).collect())
+
+
 def test_combination_prefixes_share_a_key():
     rng = np.random.default_rng(3)
     for _ in range(300):
