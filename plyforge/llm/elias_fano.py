@@ -1,14 +1,16 @@
 """Elias-Fano lists of non-decreasing numbers on plain arrays, with vectorised access and successor search.
 
 The lower bits of all numbers are packed at their exact width; the upper bits are unary, with the count of
-ones before each word as directory. Arrays are read where they are, so they may be memory-mapped.
+ones before each word and the word of every 64th zero as directories. Buckets (numbers with the same upper
+bits) of more than 32 are cut into even ranges of the lower bits, whose first indices are kept. Arrays are
+read where they are, so they may be memory-mapped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .arrays import U64
+from .arrays import U64, ragged
 
 _ALL, _ONE = U64(0xFFFFFFFFFFFFFFFF), U64(1)
 _A, _B, _C, _BYTES, _TOPS = (U64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
@@ -64,12 +66,18 @@ class Packed:
         return ((self.words[word] >> shift) | ((self.words[word + 1] << _ONE) << (U64(63) - shift))) & self.mask
 
 
+LARGE = 32
+
+
 class EliasFano:
-    def __init__(self, low: np.ndarray, upper: np.ndarray, ones: np.ndarray, n: int, bits: int) -> None:
-        self.low, self.upper, self.ones, self.n, self.bits = Packed(low, bits), upper, ones, n, bits
+    """``search`` are the directories of the search: words of zeros, large buckets, where their ranges are (64 * first + log2 of their number), and the ranges' first indices. A list without them is read by index."""
+
+    def __init__(self, arrays: list[np.ndarray], n: int, bits: int) -> None:
+        low, self.upper, self.ones, *self.search = arrays
+        self.low, self.n, self.bits = Packed(low, bits), n, bits
 
     @classmethod
-    def build(cls, values: np.ndarray, universe: int) -> EliasFano:
+    def build(cls, values: np.ndarray, universe: int, searched: bool = True) -> EliasFano:
         """values: sorted, below universe."""
         n = len(values)
         values = values.astype(U64)
@@ -79,10 +87,32 @@ class EliasFano:
         flags[at] = True
         upper = np.packbits(flags, bitorder="little").view(U64)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1])).astype(np.uint32 if n < 2**32 else np.int64)
-        return cls(Packed.build(values & U64((1 << bits) - 1), bits).words, upper, ones, n, bits)
+        search = []
+        if searched:
+            before = 64 * np.arange(len(ones)) - ones.astype(np.int64)
+            zeros = np.searchsorted(before, np.arange(0, int(before[-1]), 64), "right") - 1
+            zeros = np.append(zeros, len(upper) - 1).astype(np.uint32 if len(upper) < 2**32 else np.int64)
+            search = [zeros, *cls._large(values, bits)]
+        return cls([Packed.build(values & U64((1 << bits) - 1), bits).words, upper, ones, *search], n, bits)
+
+    @staticmethod
+    def _large(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bucket = values >> U64(bits)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(values)])
+        size = np.diff(np.append(first, len(values)))
+        first, size = first[size > LARGE], size[size > LARGE]
+        log = np.minimum(np.frexp(size - 1)[1] - 4, bits)  # 8 to 16 in a range
+        ranges = 1 << log
+        begin = np.cumsum(ranges + 1) - ranges - 1
+        step = ragged(np.zeros(len(ranges), np.int64), ranges)
+        start = np.repeat(bucket[first] << U64(bits), ranges) + (step.astype(U64) << np.repeat(bits - log, ranges).astype(U64))
+        index = np.empty(int((ranges + 1).sum()), np.uint32 if len(values) < 2**32 else np.int64)
+        index[ragged(begin, ranges)] = np.searchsorted(values, start)
+        index[begin + ranges] = first + size
+        return bucket[first].astype(np.int64), begin * 64 + log, index
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.low.words, self.upper, self.ones]
+        return [self.low.words, self.upper, self.ones, *self.search]
 
     def _one(self, i: np.ndarray) -> np.ndarray:
         """Positions of the i-th ones of the upper bits."""
@@ -106,7 +136,9 @@ class EliasFano:
 
     def _after_zeros(self, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The positions just after the h-th zeros, which lie in the words from low to high."""
-        low, high = low.copy(), np.minimum(high, len(self.upper) - 1)
+        sample = (h - 1) >> 6
+        low = np.maximum(low, self.search[0][sample])
+        high = np.minimum(high, self.search[0][sample + 1])
         while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_] + 1) >> 1
             ok = 64 * middle - self.ones[middle].astype(np.int64) < h[open_]
@@ -115,12 +147,38 @@ class EliasFano:
         return low * 64 + _select(~self.upper[low], h - 1 - (64 * low - self.ones[low].astype(np.int64))) + 1
 
     def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the values with index from start to end (all below start being less than x, those from end on more): the index of the first in x's bucket of upper bits that is x or more, and whether it is x."""
+        """Of the values with index from start to end (all below start being less than x, those from end on more): an index, and whether x is there."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         x = x.astype(U64)
         h, want = (x >> U64(self.bits)).astype(np.int64), x & U64((1 << self.bits) - 1)
-        # where the bucket begins that holds x, or index start where that lies within it
+        _, large, where, index = self.search
+        low, high = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+        small = np.ones(len(x), bool)
+        if len(large):
+            rows = np.flatnonzero(end - start > LARGE)
+            at = np.minimum(np.searchsorted(large, h[rows]), len(large) - 1)
+            same = large[at] == h[rows]
+            rows, at = rows[same], where[at[same]]
+            at = (at >> 6) + (want[rows] >> (self.bits - (at & 63)).astype(U64)).astype(np.int64)
+            low[rows], high[rows] = np.maximum(index[at], start[rows]), np.minimum(index[at + 1], end[rows])
+            small[rows] = False
+        rows = np.flatnonzero(small)
+        low[rows], high[rows] = self._bucket(h[rows], start[rows], end[rows])
+        found = low < high
+        high -= 1  # what is less than x before it leaves it
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) >> 1
+            less = self.low[middle] < want[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+        at = np.flatnonzero(found)
+        found[at] = self.low[low[at]] == want[at]
+        return low, found
+
+    def _bucket(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of indices that a bucket has between start and end."""
+        # where the bucket begins, or index start where that lies within it
         begin = h + start
         word = begin >> 6
         before = self.ones[word].astype(np.int64) + np.bitwise_count(self.upper[word] & ((_ONE << (begin & 63).astype(U64)) - _ONE))
@@ -133,16 +191,10 @@ class EliasFano:
         high = low + run
         long = np.flatnonzero(run == 64)
         if len(long):
-            # the bucket may go on beyond end
-            high[long] = self._after_zeros(h[long] + 1, word[long], np.full(len(long), len(self.upper) - 1)) - 1 - h[long]
-        high = np.minimum(high, end)
-        last = high.copy()
-        while len(open_ := np.flatnonzero(low < high)):
-            middle = (low[open_] + high[open_]) >> 1
-            less = self.low[middle] < want[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-        found = low < last
-        at = np.flatnonzero(found)
-        found[at] = self.low[low[at]] == want[at]
-        return low, found
+            # where the bucket goes on beyond end, its zero is not looked for
+            most = (h[long] + end[long]) >> 6
+            inside = 64 * (most + 1) - self.ones[most + 1].astype(np.int64) > h[long]
+            high[long] = end[long]
+            long, most = long[inside], most[inside]
+            high[long] = self._after_zeros(h[long] + 1, word[long], most) - 1 - h[long]
+        return low, np.minimum(high, end)

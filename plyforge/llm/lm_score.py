@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrays import SPACED, U64, planes, text_blocks, unplanes, word_hashes, words
+from .arrays import SPACED, U64, block_hashes, planes, ragged, text_blocks, unplanes, words
 from .elias_fano import EliasFano, Packed
 from .shared import Scratch, distinct_names, map_texts, shuffle_partitions
 
@@ -129,28 +129,30 @@ class Trie:
             counts[rows] = count[at[ok]].astype(np.int64)
         return ids[where], counts[where]
 
-    def find(self, level: int, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a level's (context, token): node ids (-1: none), found probability and what the context leaves. Negative contexts or tokens are unknown."""
-        n, known = len(context), np.flatnonzero(context >= 0)
-        context, token, where = _distinct(context[known], token[known], self.vocabulary)
-        node, found, left = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        for shard, a, b in _shards(self.levels[level - 1], context, np.int64):
+    def find(self, level: int, context: np.ndarray, token: np.ndarray, values: bool = True) -> tuple[np.ndarray, ...]:
+        """Of a level's (context, token): node ids (-1: none) and, with values, found probability and what the context leaves. Negative contexts or tokens are unknown."""
+        context, token, where = _distinct(context, token, self.vocabulary)
+        new = np.flatnonzero(np.diff(context, prepend=-2))  # pointers are read once for each context
+        distinct, sizes = context[new], np.diff(np.append(new, len(context)))
+        node, found, left = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(distinct))
+        for shard, a, b in _shards(self.levels[level - 1], distinct, np.int64):
             pointers, children, probability, rest = _opened(self.folder, shard)
-            rows = a + np.flatnonzero(context[a:b] - shard.first < shard.numbers[0])
-            relative = context[rows] - shard.first
-            code = rest[relative]
-            left[rows] = _VALUE[code]
-            some = (code > 0) & (token[rows] >= 0)  # contexts without children leave all
-            rows, relative = rows[some], relative[some]
+            b = a + int(np.searchsorted(distinct[a:b], shard.first + shard.numbers[0]))
+            code = rest[distinct[a:b] - shard.first]
+            left[a:b] = _VALUE[code]
+            some = a + np.flatnonzero(code)  # contexts without children leave all
+            relative = distinct[some] - shard.first
             start, end = (x.astype(np.int64) for x in pointers.pair(relative))
-            at, ok = children.successor(relative * self.vocabulary + token[rows], start, end)
+            rows = ragged(new[some], sizes[some])
+            relative, start, end = (np.repeat(x, sizes[some]) for x in (relative * self.vocabulary, start, end))
+            if len(rows) and (unknown := token[rows] < 0).any():
+                rows, relative, start, end = (x[~unknown] for x in (rows, relative, start, end))
+            at, ok = children.successor(relative + token[rows], start, end)
             rows, at = rows[ok], at[ok]
             node[rows] = shard.base + at
-            found[rows] = _VALUE[probability[at]]
-        out = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        for whole, part in zip(out, (node, found, left), strict=True):
-            whole[known] = part[where]
-        return out
+            if values:
+                found[rows] = _VALUE[probability[at]]
+        return (node[where], found[where], np.repeat(left, sizes)[where]) if values else (node[where],)
 
     def log10(self, ids: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Base and model log10 probability of each token; firsts: where texts start."""
@@ -172,12 +174,13 @@ def _ages(n: int, firsts: np.ndarray) -> np.ndarray:
 
 
 def _distinct(context: np.ndarray, token: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs in order, and where each pair stands among them. Tokens are -1 or more."""
+    """The distinct pairs in order, and where each pair stands among them. Both are -1 or more."""
     if not len(context):
         return context, token, np.empty(0, np.int64)
     if int(context.max()) < (1 << 62) // (vocabulary + 1):
         key, where = np.unique(context * (vocabulary + 1) + token + 1, return_inverse=True)
-        return key // (vocabulary + 1), key % (vocabulary + 1) - 1, where
+        context = key // (vocabulary + 1)
+        return context, key - context * (vocabulary + 1) - 1, where
     order = np.lexsort((token, context))
     c, t = context[order], token[order]
     new = np.append(True, (c[1:] != c[:-1]) | (t[1:] != t[:-1]))
@@ -197,14 +200,14 @@ def _shards(shards: list[Shard], ordered: np.ndarray, kind: type) -> Iterator[tu
 def _tokens(folder: str, shard: Shard) -> tuple[EliasFano, Packed]:
     a = read_arrays(folder, shard.path, shard.layout)
     _, bits, width = shard.numbers
-    return EliasFano(*a[0:3], shard.n, bits), Packed(a[3], width)
+    return EliasFano(a[:-1], shard.n, bits), Packed(a[-1], width)
 
 
 def _opened(folder: str, shard: Shard) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
     """Pointers, children, the children's probabilities and what each context leaves."""
     a = read_arrays(folder, shard.path, shard.layout)
     width, pointer_bits, child_bits = shard.numbers
-    return EliasFano(*a[0:3], width + 1, pointer_bits), EliasFano(*a[3:6], shard.n, child_bits), a[6], a[7]
+    return EliasFano(a[:3], width + 1, pointer_bits), EliasFano(a[3:-2], shard.n, child_bits), a[-2], a[-1]
 
 
 def children(trie: Trie, level: int, context: int) -> np.ndarray:
@@ -222,7 +225,7 @@ def token_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
     """(first row, end row, token hashes with an end for each row, where rows start)."""
     for low, high, data, offsets in text_blocks(batch, column, BLOCK):
         starts, ends, bounds = words(data, offsets, SPACED)
-        h = np.insert(word_hashes(data, starts, ends), bounds[1:], U64(END))
+        h = np.insert(block_hashes(data, starts, ends), bounds[1:], U64(END))
         yield low, high, h, bounds[:-1] + np.arange(high - low)
 
 
@@ -336,7 +339,7 @@ def _level(texts: DataFrame, trie: Trie, parts: int, least_count: int, discount:
                 for k in range(2, level):
                     previous = np.concatenate(([-1], context[:-1]))
                     previous[age < k - 1] = -1
-                    context = trie.find(k, previous, ids)[0]
+                    (context,) = trie.find(k, previous, ids, values=False)
                 ok = np.flatnonzero((age[1:] >= level - 1) & (context[:-1] >= 0))
                 held.append((context[ok], ids[ok + 1]))
                 size += len(ok)
@@ -380,7 +383,7 @@ def _level(texts: DataFrame, trie: Trie, parts: int, least_count: int, discount:
         share = (kept - discount) / total
         rest = np.zeros(width, np.uint8)  # 0 where a context has no children
         rest[context[begins]] = np.maximum(quantised(np.maximum(1 - np.add.reduceat(share, begins), 1e-8)), 1)
-        pointers = EliasFano.build(np.searchsorted(context, np.arange(width + 1)), len(kept) + 1)
+        pointers = EliasFano.build(np.searchsorted(context, np.arange(width + 1)), len(kept) + 1, searched=False)
         values = EliasFano.build(context * v + token, width * v)
         path, layout = write_arrays(trie.folder, [*pointers.arrays(), *values.arrays(), quantised(share), rest])
         mass = np.concatenate(([0], np.cumsum(kept)))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plyforge.llm import ann, chat_format, decontaminate, lm_score, ngram_join, packing, queries, secret_scan, sharding, shared, toxicity, url_filter
+from plyforge.llm import ann, arrays, chat_format, decontaminate, lm_score, ngram_join, packing, queries, secret_scan, sharding, shared, toxicity, url_filter
 from plyforge.llm.elias_fano import EliasFano, Packed
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size int, shard int, spans string, score double"
@@ -396,6 +396,49 @@ def test_successor_within_a_context(vocabulary, contexts):
     assert (found == np.isin(x, values)).all() and (values[at[found]] == x[found]).all()
 
 
+def test_search_in_a_large_bucket_reads_few_values(monkeypatch):
+    rng = np.random.default_rng(12)
+    vocabulary, sizes = 10**6, [1] * 3000 + [20000, 5, 40000] + [1] * 3000
+    values = np.concatenate([np.sort(rng.choice(vocabulary, n, replace=False)) + r * vocabulary for r, n in enumerate(sizes)]).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    listed = EliasFano.build(values, len(sizes) * vocabulary)
+    again = EliasFano(listed.arrays(), listed.n, listed.bits)
+    x = np.sort(np.concatenate((rng.choice(values, 5000), rng.integers(2990 * vocabulary, 3010 * vocabulary, 5000))))
+    reads, get = [], Packed.__getitem__
+    monkeypatch.setattr(Packed, "__getitem__", lambda self, i: reads.append(len(i)) or get(self, i))
+    at, found = again.successor(x, first[x // vocabulary], first[x // vocabulary + 1])
+    assert sum(reads) <= 6 * len(x)  # by halving the bucket 15 for most
+    assert (found == np.isin(x, values)).all() and (values[at[found]] == x[found]).all()
+
+
+def test_lm_reads_pointers_once_for_each_context(spark, monkeypatch):
+    texts = [f"a w{i % 50} a" for i in range(60)] + ["b a"]
+    trie = lm_score.fit(docs_of(spark, texts), order=2, least_count=1)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(["a b", *(f"w{i}" for i in range(50))]).encode()])], ["text"])
+    a, b, *w = trie.ids(next(lm_score.token_blocks(batch, "text"))[2])[0][:-1].tolist()
+    context, token = np.array([a] * 50 + [-1, b, b, a, a]), np.array([*w, w[0], a, w[3], -1, w[1]])
+    one = [np.concatenate(x) for x in zip(*(trie.find(2, context[i : i + 1], token[i : i + 1]) for i in range(len(token))), strict=True)]
+    asked, pair = [], EliasFano.pair
+    monkeypatch.setattr(EliasFano, "pair", lambda self, i: asked.extend(i.tolist()) or pair(self, i))
+    got = trie.find(2, context, token)
+    assert len(asked) == 2
+    assert all((x == y).all() for x, y in zip(got, one, strict=True))
+    assert (trie.find(2, context, token, values=False)[0] == got[0]).all()
+    node, found, left = got
+    assert (node >= 0).tolist() == [True] * 50 + [False, True, False, False, True]
+    assert ((found > 0) == (node >= 0)).all() and left[50] == 1 and (np.delete(left, 50) < 1).all()
+
+
+def test_hashes_of_blocks_are_those_of_words():
+    rng = np.random.default_rng(13)
+    for n in (1, 4096, 32768, 32769, 200000):
+        for blank in (0, 0.0001, 0.2, 1):  # some words are longer than a step of multipliers
+            data = rng.integers(33, 256, n).astype(np.uint8)
+            data[rng.random(n) < blank] = 32
+            starts, ends, _ = arrays.words(data, np.array([0, n // 3, n]), arrays.SPACED)
+            assert (arrays.block_hashes(data, starts, ends) == arrays.word_hashes(data, starts, ends)).all()
+
+
 def test_url_filter(spark):
     urls = [("http://A.Org", "a.org", "", None), ("x", "", "", None), (None, "", "", None), ("http://example.org/es/1?x", "example.org", "/es/1", "example.org/es/"), ("http://m.example.org/en/12#t", "m.example.org", "/en/12", "example.org/en/1"), ("http://b.org/z", "b.org", "/z", "org/"), ("http://c.com/de/", "c.com", "/de/", "com/de/"), ("http://xorg/de/", "xorg", "/de/", None)]
     more = [("http://bad.com/de/%d" % i, "bad.com", "/de/%d" % i, "com/de/") for i in range(60)] + [("http://bad.com/en/1", "bad.com", "/en/1", None), ("http://new.net/a", "new.net", "/a", None)] + [("http://h%d.org/a" % i, "h%d.org" % i, "/a", "org/") for i in range(100)]
