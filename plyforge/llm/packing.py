@@ -17,27 +17,29 @@ No rows give no pieces. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .byte_pairs import BytePairs
 from .shared import Scratch, map_texts
 
-MOST_CACHED = 1_000_000
+#: Bytes of text whose distinct words are encoded together.
+TOGETHER = 1 << 23
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, with a bounded cache of words.
+    """Token ids as little-endian 32-bit bytes.
 
     The byte-level pre-tokenizer starts a token at a single space after a character that is no white space,
-    so such a text is the concatenation of its words' ids, each taken with its space. Other texts, and those that hold an
-    added token of the tokenizer, are encoded whole.
+    so such a text is the concatenation of its words' ids, each taken with its space; the distinct words of the texts are
+    encoded together, see byte_pairs. Other texts, and those that hold an added token of the tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,62 +47,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # added tokens are found before words are split
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.spaced = any(" " in t for t in added)
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _has_added(self, words: list[str]) -> bool:
-        return self.added is not None and any(map(self.added.search, words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self.rest) + len(self.first) > MOST_CACHED:
-            self.rest.clear()
-            self.first = {"": b""}
-        failed, missing, missing_first, odd = [], set(), set(), []
-        for i, text in enumerate(texts):
-            if self.spaced and self.added.search(text):
-                odd.append(i)
-                continue
-            head, *tail = text.split(" ")
-            try:
-                out[i] = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
-            except KeyError:
-                fresh = set(tail).difference(self.rest)
-                if any(not w or w[-1].isspace() for w in fresh) or (tail and head[-1:].isspace()) or self._has_added([*fresh, head]):
-                    odd.append(i)
-                    continue
-                failed.append((i, head, tail))
-                missing |= fresh
-                if head not in self.first:
-                    missing_first.add(head)
-        if failed:
-            words = list(missing)
-            self.rest.update(zip(words, self._encode([f" {w}" for w in words]), strict=True))
-            # a first word that ends in white space would end differently before a space
-            heads = [h for h in missing_first]
-            self.first.update(zip(heads, self._encode(heads), strict=True))
-            for i, head, tail in failed:
-                out[i] = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
-            for h in heads:
-                if h[-1:].isspace():
-                    del self.first[h]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        self.pairs = BytePairs.of(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before words are split
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array, space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each after space, and how many ids each has."""
+        joined = b""
+        if len(words):
+            joined = space.encode() + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(space, words.type))[0].as_buffer().to_pybytes()
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64) + len(space)
+        ids, bounds, left = self.pairs.encode(joined, np.concatenate(([0], np.cumsum(sizes))))
+        if not left.any():
+            return ids, np.diff(bounds)
+        parts, at, odd = [], 0, np.flatnonzero(left)
+        for i, own in zip(odd.tolist(), self._encode([space + words[i].as_py() for i in odd.tolist()]), strict=True):
+            parts += [ids[at : bounds[i]], own]
+            at = bounds[i + 1]
+        counts = np.diff(bounds)
+        counts[odd] = [len(own) for own in parts[1::2]]
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if self.pairs is None:
+            return [ids.tobytes() for ids in self._encode(texts.to_pylist())]
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        heads = bounds[:-1]
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        # words whose ids depend on what is beside them: white space at the end, and nothing but for a text's first word
+        odd = pc.utf8_is_space(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False)
+        alone = odd | (pc.binary_length(words).to_numpy() == 0)
+        at = alone[codes]
+        at[heads] = odd[codes[heads]]
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(bounds, np.flatnonzero(at), side="right") - 1] = True
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        first, of_head = np.unique(codes[heads], return_inverse=True)
+        ids, n = self._words(words, " ")
+        more, n_more = self._words(words.take(pa.array(first)), "")
+        codes = codes.astype(np.int64)
+        codes[heads] = len(words) + of_head
+        ids, n = np.concatenate((ids, more)), np.concatenate((n, n_more))
+        begins, sizes = np.cumsum(n) - n, n[codes]
+        ends = np.cumsum(sizes)
+        out = ids[np.repeat(begins[codes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = 4 * np.concatenate(([0], ends))[bounds]
+        got = [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        some = np.flatnonzero(whole).tolist()
+        for i, own in zip(some, self._encode([texts[i].as_py() for i in some]), strict=True):
+            got[i] = own.tobytes()
+        return got
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """One encoder for each worker process, whose cache serves all its tasks."""
+    """One encoder for each worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -189,15 +199,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, bins: int = 2
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = encoder_of(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            at, ids = 0, batch.column(0)
+            at, ids, texts = 0, batch.column(0), batch.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             while at < batch.num_rows:
-                texts, size, low = [], 0, at
-                while at < batch.num_rows and (not texts or size < 1 << 20):
-                    texts.append(batch.column(1)[at].as_py())
-                    size += len(texts[-1])
-                    at += 1
-                rows = []
-                for i, got in enumerate(encoder.encode(texts)):
+                low, rows = at, []
+                at = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, side="right")))
+                for i, got in enumerate(encoder.encode(texts.slice(low, at - low))):
                     got += end
                     n = len(got) // 4
                     for start in range(0, n, window):

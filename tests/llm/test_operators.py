@@ -213,6 +213,26 @@ def test_packing_round_trip(spark, odd):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
+def test_packing_words_are_encoded_together():
+    """Ordinary words don't reach the tokenizer, and ids are its own with or without the fast way."""
+    rng = random.Random(16)
+    encoder = packing.Encoder(queries.tokenizer_path())
+    handed, real = [], encoder._encode
+    encoder._encode = lambda texts: handed.extend(texts) or real(texts)
+    syllables = ["er", "ción", "the", "ñ", "ß", "1", "42", "$$$", ".", "\n", "It's", "we'll", "'S", "日本", "_", "²"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) + rng.choice("abc!7") for _ in range(300)) for _ in range(20)]
+    own = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == own(texts)
+    assert handed == []
+    parts = [*syllables, " ", " ", "  ", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "\u180e", "\u0301", "\0", "😀", "x" * 70, "'", "s", "re", "v", "<|endoftext|>"]
+    texts = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(5000))]
+    want = own(texts)
+    assert encoder.encode(texts) == want and [encoder.encode([t])[0] for t in texts[:300]] == want[:300]
+    assert encoder.encode([]) == [] and 0 < len(handed)
+    encoder.pairs = None
+    assert encoder.encode(texts) == want
+
+
 def test_plan_uses_up_the_histogram():
     counts = np.random.default_rng(1).integers(0, 50, 65)
     counts[0] = 0
